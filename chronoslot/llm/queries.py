@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, stream_dedup
-from .common import table, tune
+from . import ann, bpe, langid, line_dedup, packing, pii, stream_dedup, toxicity, url_filter
+from .common import held_out, save, table, tune
+
+#: Rules of the URL filter.
+URL_RULES = [
+    url_filter.rule("org/", "allow"),
+    url_filter.rule("example.org/es/", "block"),
+    url_filter.rule("example.org/en/1", "block"),
+    url_filter.rule("com/fr/", "allow"),
+    url_filter.rule("com/de/", "block"),
+]
+#: Key of the surrogates; a real run passes its own.
+PII_KEY = "surrogates of the registered query"
 
 
 def tokenizer(name: str) -> str:
@@ -15,11 +26,38 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table: a bounded sample of the URLs that a rule decides, with its verdict."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    decided = url_filter.matched(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), URL_RULES)
+    labelled = pages.select("url", (decided["verdict"] == "block").cast("int").alias("block"))
+    model = url_filter.train(url_filter.labelled_sample(labelled))
+    return url_filter.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return pii.replace(table(spark, sf_dir, "documents"), PII_KEY, counts=True).select("doc_id", "text", "n_entities")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(langid.training_rows(docs))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op5_block_matrix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -29,19 +67,41 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(save(toxicity.sample(docs, table(spark, sf_dir, "labels")), "toxicity-sample"))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_dedup.drop_boilerplate(docs, counts=True).select("doc_id", "lines_dropped", F.col("text").alias("clean_text"))
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_pii": op2_pii,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_language_id": op4_language_id,
+    "op5_block_matrix_join": op5_block_matrix_join,
     "op6_stream_dedup": op6_stream_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op5_block_matrix_join": """
+        WITH v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_reduce(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i]), (a, b) -> a + b) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+        SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20
+    """,
     "op6_stream_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
              g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
