@@ -16,6 +16,8 @@ from .common import work_path
 
 #: Runs of these characters count as one space.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Bits of the filter that keeps texts without hits out of the byte check's shuffle: a fixed 1 MB. When full, it only stops helping.
+FILTER_BITS = 1 << 23
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -71,6 +73,18 @@ def read_state(spark: SparkSession, state_table: str) -> DataFrame:
     return changes.groupBy("text_sha256").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("s")).select("text_sha256", "s.keep", "s.group_size")
 
 
+def _maybe_hit(located: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows whose digest may have been seen more than once: all that were, and some more by chance of the filter."""
+    bit = F.pmod(F.xxhash64("text_sha256"), F.lit(FILTER_BITS))
+    set_bits = state.where("group_size > 1").select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")).collect()
+    words = [0] * (FILTER_BITS // 64)
+    for r in set_bits:
+        words[r["w"]] = r["v"]
+    table = located.sparkSession.createDataFrame([(words,)], "words array<bigint>")
+    found = F.getbit(F.col("words")[F.shiftright(bit, 6).cast("int")], F.pmod(bit, F.lit(64)).cast("int")) == 1
+    return located.join(F.broadcast(table), found, "left_semi")
+
+
 def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row under the Parquet ``path``: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -90,8 +104,9 @@ def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str
         state = _located(docs, id_col, text_col).limit(0).select("text_sha256", F.col("_at").alias("keep"), F.lit(0).cast("long").alias("group_size"))
     else:
         state = read_state(spark, f"{work}/state")
-    rows = _located(docs, id_col, text_col).join(state, "text_sha256")
-    hits = rows.where("group_size > 1")
+    located = _located(docs, id_col, text_col)
+    rows = located.join(state, "text_sha256")
+    hits = _maybe_hit(located, state).join(state.where("group_size > 1"), "text_sha256")
     keepers = hits.where(F.col("_at") == F.col("keep")).select("text_sha256", F.col("_norm").alias("_kept_norm"))
     unequal = hits.join(keepers, "text_sha256").where(F.col("_norm") != F.col("_kept_norm"))
     if unequal.isEmpty():
