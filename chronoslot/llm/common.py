@@ -37,12 +37,32 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/llm/{tag}-{uuid.uuid4().hex}"
 
 
+#: Work tables of this session that were not discarded.
+saved: list[str] = []
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the reread table: lineage ends here."""
     spark = df.sparkSession
     path = work_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    saved.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that save() returned, once nothing reads them any more."""
+    for t in tables:
+        release(t.sparkSession, [t._work_path])
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        if p in saved:
+            saved.remove(p)
+            drop_path(spark, p)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

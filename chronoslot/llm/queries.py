@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, line_dedup, packing, pii, stream_dedup, toxicity, url_filter
+from . import ann, bpe, jaccard, langid, line_dedup, packing, pii, stream_dedup, toxicity, url_filter
 from .common import held_out, save, table, tune
 
 #: Rules of the URL filter.
@@ -62,6 +62,11 @@ def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
@@ -86,6 +91,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_block_matrix_join": op5_block_matrix_join,
     "op6_stream_dedup": op6_stream_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
@@ -108,6 +114,18 @@ ORACLE_SQL = {
         SELECT n.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, n.doc_id = g.keep_id AS kept, sha256(n.norm) AS text_sha256
         FROM n JOIN g ON n.norm = g.norm
     """,
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM words),
+        tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS k FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+        linked AS (SELECT a, b FROM shared WHERE 100 * k >= 75 * (n + m - k)),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN linked l ON r.other = l.a)
+        SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = sets.doc_id) AS component_id FROM sets
+    """,
     "op10_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, coalesce(source, '') AS host, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents),
