@@ -47,6 +47,8 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     path = work_path(spark, tag)
     df.write.parquet(path)
     saved.append(path)
+    # shuffle files of the steps that are written now go only when the driver collects what refers to them
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out
