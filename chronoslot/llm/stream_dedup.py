@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import work_path
+from .common import save, work_path
 
 #: Runs of these characters count as one space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -103,7 +103,8 @@ def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str
     if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         state = _located(docs, id_col, text_col).limit(0).select("text_sha256", F.col("_at").alias("keep"), F.lit(0).cast("long").alias("group_size"))
     else:
-        state = read_state(spark, f"{work}/state")
+        # written, so that joins with it have an exchange on both sides and large groups can be split
+        state = save(read_state(spark, f"{work}/state"), "dedup-state")
     located = _located(docs, id_col, text_col)
     rows = located.join(state, "text_sha256")
     hits = _maybe_hit(located, state).join(state.where("group_size > 1"), "text_sha256")
