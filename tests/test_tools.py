@@ -144,3 +144,16 @@ def test_streams(spark, tmp_path):
     assert sorted((r["bucket"], r["total"]) for r in got) == [(0, 1), (1, 2)]
     got = run(live.lives(live.items(spark, path), f.schema, 1000), "lives", "append")
     assert sorted((r["entity_id"], r["born_cycle"], r["died_cycle"]) for r in got) == [(0, 0, 3), (1, 1, 4), (2, 2, 5)]
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from chronoslot.__main__ import main, show
+
+    path = str(tmp_path / "a.trace")
+    three_instructions(path)
+    assert main([]) == 2
+    assert main(["trace_instruction", path, "entity_id=0", "--json"]) == 0
+    assert len(json.loads(capsys.readouterr().out.strip().splitlines()[-1])) == 4
+    assert main(["trace_instruction", path, "entity_id=77"]) == 1
+    text = show([{"a": i} for i in range(1001)]).splitlines()
+    assert len(text) < 260 and text[-1] == "1000"
