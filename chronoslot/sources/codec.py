@@ -474,3 +474,17 @@ def read_summary(buf: bytes) -> Summary:
         sid, levels = take("<HI")
         s.counters.append((name, sid, [[take("<QQQ") for _ in range(take("<I")[0])] for _ in range(levels)]))
     return s
+
+
+# --- level directory of the older summary section ---
+LEVELS, LEVEL = struct.Struct("<IIIIQ"), struct.Struct("<QI4x")
+
+
+def write_levels(fan_out: int, entry_size: int, base_interval_ps: int, levels: list[tuple[int, int]]) -> bytes:
+    """Header and (offset, entries) of each level."""
+    return LEVELS.pack(len(levels), fan_out, entry_size, 0, base_interval_ps) + b"".join(LEVEL.pack(*x) for x in levels)
+
+
+def read_levels(buf: bytes) -> dict:
+    n, fan_out, entry_size, _, base = LEVELS.unpack_from(buf)
+    return {"fan_out": fan_out, "entry_size": entry_size, "base_interval_ps": base, "levels": [LEVEL.unpack_from(buf, LEVELS.size + i * LEVEL.size) for i in range(n)]}

@@ -125,3 +125,9 @@ def test_summary():
 
 def test_strings():
     assert C.read_strings(C.write_strings(["a", "", "é"])) == ["a", "", "é"]
+
+
+def test_level_directory():
+    raw = C.write_levels(4, 24, 1000, [(100, 8), (292, 2)])
+    assert len(raw) == 24 + 2 * 16
+    assert C.read_levels(raw) == {"fan_out": 4, "entry_size": 24, "base_interval_ps": 1000, "levels": [(100, 8), (292, 2)]}
