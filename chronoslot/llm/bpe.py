@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Matches of a text are looked up in a table of at most so many entries a worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Longer matches are encoded anew each time.
 CACHE_CHARS = 64
 #: Below this code point, classes of the fast pattern are spelled out.
