@@ -4,11 +4,13 @@ A surrogate comes from a keyed permutation of the entity's own format: digits
 stay digits, letters stay letters of their script and case, and punctuation,
 country and network prefixes, Luhn validity and top-level domains stay. A
 permutation maps equal entities to equal surrogates and different ones to
-different ones. A given name gets another of its gender and script.
+different ones. A given name gets another of its gender and script. A secret
+without a letter or digit becomes a word of letters.
 
 Collision checks run over all entities of the table: a surrogate that equals a
 real entity of the table, or that two entities share, is drawn again from the
-next permutation until none is left.
+next permutation until none is left. Where a format is full, so that no
+permutation helps, the format is lengthened.
 """
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +33,10 @@ from .common import save
 
 #: Exceptions to the first permutation are shipped to all tasks up to so many; beyond, they are joined.
 SHIPPED_EXCEPTIONS = 100_000
-#: Permutations tried for one entity.
+#: Permutations tried for one entity in its own format; from then on each round makes the format longer by LONGER symbols.
 MAX_ATTEMPTS = 32
+MAX_LENGTHENED = 16
+LONGER = 2
 ROUNDS = 8
 
 # fixed values: given names by script and gender
@@ -47,7 +54,10 @@ GENDER_OF = {n: (s, g) for (s, g), names in NAMES.items() for n in names}
 
 _title = "|".join(t for g in TITLES.values() for t in g)
 _given = "|".join(n for names in NAMES.values() for n in names)
-_surname = r"[^\W\d_]+(?:[-'’][^\W\d_]+)?"
+# vowel signs and accents of their own belong to the letters before them
+_marks = re.escape("".join(c for c in map(chr, range(0x300, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M"))
+_letters = rf"(?:[^\W\d_]|[{_marks}])+"
+_surname = rf"{_letters}(?:[-'’]{_letters})?"
 
 #: type -> pattern; the first that matches at a place wins.
 PATTERNS = {
@@ -111,13 +121,17 @@ def _round(key: bytes, tweak: str, text: str, mod: int) -> int:
     return int.from_bytes(hmac.new(key, f"{tweak}|{text}".encode(), hashlib.sha256).digest()[:16], "big") % mod
 
 
+@lru_cache(maxsize=16)
+def _order(key: bytes, tweak: str, base: int) -> list[int]:
+    return sorted(range(base), key=lambda v: _round(key, tweak, f"one|{v}", 1 << 64))
+
+
 def _permute(key: bytes, tweak: str, symbols: list[int], bases: list[int]) -> list[int]:
     """A keyed permutation of mixed-radix strings: an unbalanced Feistel network over two halves."""
     if not symbols:
         return []
     if len(symbols) == 1:
-        order = sorted(range(bases[0]), key=lambda v: _round(key, tweak, f"one|{v}", 1 << 64))
-        return [order[symbols[0]]]
+        return [_order(key, tweak, bases[0])[symbols[0]]]
     half = len(symbols) // 2
     left, right = symbols[:half], symbols[half:]
     lb, rb = bases[:half], bases[half:]
@@ -150,15 +164,17 @@ def _alphabet(c: str) -> str | None:
         return "abcdefghijklmnopqrstuvwxyz"
     if "A" <= c <= "Z":
         return "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    if not c.isalpha():
+    if c < "\x80" or unicodedata.category(c)[0] not in "LMNS":
         return None
+    if not c.isalpha():
+        return _like(c)
     upper = c.isupper()
     for lo, hi in (("а", "я"), ("α", "ω")):
         span = [chr(x) for x in range(ord(lo), ord(hi) + 1) if chr(x) != "ς"]
         if c.lower() in span:
-            return "".join(x.upper() if upper else x for x in span)
-    base = unicodedata.normalize("NFD", c)[0]
-    return _accented(base.isupper()) if "a" <= base.lower() <= "z" else None
+            own = "".join(x.upper() if upper else x for x in span)
+            return own if c in own else _like(c)
+    return next((a for a in (_accented(False), _accented(True)) if c in a), None) or _like(c)
 
 
 def _accented(upper: bool) -> str:
@@ -166,6 +182,33 @@ def _accented(upper: bool) -> str:
     return s.upper() if upper else s
 
 
+#: Characters with alphabets of their own.
+_OWN = frozenset(chr(x + d) for lo, hi in (("а", "я"), ("α", "ω")) for x in range(ord(lo), ord(hi) + 1) if chr(x) != "ς" for d in (0, -32)) | frozenset(_accented(False) + _accented(True))
+
+
+def _class(c: str) -> tuple:
+    """Script, kind and neighbourhood of a character; common Han characters and Hangul are one neighbourhood each."""
+    kind = unicodedata.category(c)
+    script = "" if kind[0] == "S" else unicodedata.name(c, "").split(" ")[0]
+    page = -1 if "\u4e00" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" else ord(c) >> 10
+    return script, kind, page, unicodedata.normalize("NFKC", c) == c
+
+
+@cache
+def _alphabets() -> dict[tuple | None, str]:
+    """Every character without an alphabet of its own by class; those that are alone in theirs share one."""
+    groups: dict[tuple | None, list[str]] = defaultdict(list)
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.category(c)[0] in "LMNS" and c not in _OWN:
+            groups[_class(c)].append(c)
+    alone = [c for g in groups.values() if len(g) == 1 for c in g]
+    return {k: "".join(g) for k, g in groups.items() if len(g) > 1} | {None: "".join(alone)}
+
+
+def _like(c: str) -> str:
+    return _alphabets().get(_class(c)) or _alphabets()[None]
+
+
 def _by_format(key: bytes, tweak: str, s: str, fixed: int = 0) -> str:
     """Permute the letters and digits of ``s`` after the first ``fixed`` ones; everything else stays."""
     places, symbols, bases = [], [], []
@@ -191,9 +234,28 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
-def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
-    """Replacement of a canonical entity in canonical form."""
+def _lengthen(kind: str, entity: str, by: int) -> str:
+    """``entity`` in a format that is longer by so many symbols; different entities stay different."""
+    if kind == "email":
+        local, _, domain = entity.partition("@")
+        return f"{local}{'a' * by}@{domain}"
+    if kind == "ipv4":
+        return entity + ".0" * by
+    if kind == "card":
+        return f"{entity[:-1]}{'0' * by}{entity[-1]}"
+    if kind == "name":
+        return entity + entity[-1] * by
+    return entity + ("A" if kind in ("iban", "access_key") else "0" if kind != "secret" or re.fullmatch(r"[0-9a-f]+", entity) else "a") * by
+
+
+def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0, longer: int = 0) -> str:
+    """Replacement of a canonical entity in canonical form; ``longer`` symbols longer where its own format is full."""
     tweak = f"{kind}|{attempt}"
+    if kind == "secret" and not any(map(_alphabet, entity)):
+        n = max(len(entity), 12) + longer
+        return "".join(chr(97 + _round(key, f"{tweak}|{i}", entity, 26)) for i in range(n))
+    if longer:
+        entity = _lengthen(kind, entity, longer)
     if kind == "email":
         local, _, domain = entity.partition("@")
         labels = domain.split(".")
@@ -207,7 +269,7 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         return _by_format(key, tweak, entity, fixed=1 if code else 2 if entity.startswith("+") else 0)
     if kind == "ipv4":
         parts = [int(p) for p in entity.split(".")]
-        return ".".join(map(str, [parts[0], *_permute(key, tweak + f"|{parts[0]}", parts[1:], [256] * 3)]))
+        return ".".join(map(str, [parts[0], *_permute(key, tweak + f"|{parts[0]}", parts[1:], [256] * (len(parts) - 1))]))
     if kind == "iban":
         body = _by_format(key, tweak, entity[4:])
         value = int("".join(str(int(c, 36)) for c in body + entity[:2] + "00"))
@@ -256,7 +318,7 @@ def render(kind: str, mention: str, replacement: str) -> str:
     if kind in ("card", "ssn", "iban", "phone"):
         chars = iter(replacement)
         skip = " -" if kind != "phone" else " -.()"
-        return "".join(c if c in skip else next(chars) for c in mention)
+        return "".join(c if c in skip else next(chars) for c in mention) + "".join(chars)
     if kind == "email":
         return "".join(r.upper() if m.isupper() else r for m, r in zip(mention, replacement, strict=False)) if len(mention) == len(replacement) else replacement
     return replacement
@@ -287,16 +349,22 @@ def exceptions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(kind, entity, surrogate) of entities whose surrogate is not the first permutation's, after all collision checks."""
     table = save(entities(docs, key, text_col).withColumn("attempt", F.lit(0)), "entities")
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(k, e, surrogate(k, e, key.encode(), a + 1), a + 1) for k, e, a in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)] + [pa.array([r[3] for r in rows], pa.int32())], names=["kind", "entity", "surrogate", "attempt"])
+    def again(attempt: int, longer: int):
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [(k, e, surrogate(k, e, key.encode(), attempt, longer)) for k, e in zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)] + [pa.array([attempt] * len(rows), pa.int32())], names=["kind", "entity", "surrogate", "attempt"])
+
+        return draw
 
-    for _ in range(MAX_ATTEMPTS):
+    rounds = MAX_ATTEMPTS + MAX_LENGTHENED
+    for attempt in range(1, rounds + 2):
         bad = save(_collisions(table), "collisions")
         if bad.isEmpty():
             break
-        drawn = bad.mapInArrow(again, table.schema)
+        if attempt > rounds:
+            raise RuntimeError("surrogates still collide")
+        drawn = bad.mapInArrow(again(attempt, LONGER * max(0, attempt - MAX_ATTEMPTS)), table.schema)
         table = save(table.join(bad.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(drawn), "entities")
     return table.where("attempt > 0").select("kind", "entity", "surrogate")
 

@@ -79,6 +79,34 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert len(set(got)) == 40 and not real & set(got)
 
 
+def test_names_and_secrets_of_any_script(spark):
+    hidden = {"Dr {}": ["李小龙", "محمد", "שרה", "कमला", "김민수", "Łukáč", "ʬʭ"], "password: {}": ["密码密码密码", "١٢٣٤٥٦", "******", "🔥🔥🔥🔥🔥🔥"]}
+    texts = [form.format(x) for form, xs in hidden.items() for x in xs]
+    out = [r["text"] for r in pii.replace(table(spark, texts), "k").orderBy("doc_id").collect()]
+    for x, t, new in zip([x for xs in hidden.values() for x in xs], texts, out, strict=True):
+        assert new != t and x not in new and new.split(" ")[0] == t.split(" ")[0]
+    assert len(set(out)) == len(texts)
+    alphabets = {a for c in map(chr, range(0x3000)) if (a := pii._alphabet(c))}
+    assert sum(map(len, alphabets)) == len(set("".join(alphabets)))
+    assert all(c in pii._alphabet(c) for c in map(chr, range(0x110000)) if c.isalpha())
+
+
+def test_full_formats_are_lengthened(spark, monkeypatch):
+    """All surnames of two letters are real, so that none is free as a surrogate; so are all addresses of a kind."""
+    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"Mr {a.upper()}{b}" for a in letters for b in letters] + [f"{a}@{b}.org" for a in letters for b in letters]
+    out = [r["text"] for r in pii.replace(table(spark, texts), "k").collect()]
+    assert len(set(out)) == len(texts) and not set(out) & set(texts)
+
+
+def test_unsettled_collisions_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 0)
+    monkeypatch.setattr(pii, "MAX_LENGTHENED", 0)
+    with pytest.raises(RuntimeError):
+        pii.replace(table(spark, [f"Mr {a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]), "k")
+
+
 # --- packing ---
 def test_plan_places_every_piece_once():
     for seed in range(120):
