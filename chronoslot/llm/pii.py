@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 import sys
 import unicodedata
@@ -38,6 +39,8 @@ MAX_ATTEMPTS = 32
 MAX_LENGTHENED = 16
 LONGER = 2
 ROUNDS = 8
+#: Longer strings are permuted piece by piece, each piece under a key that follows from those before it.
+PIECE = 512
 
 # fixed values: given names by script and gender
 NAMES = {
@@ -62,7 +65,7 @@ _surname = rf"{_letters}(?:[-'’]{_letters})?"
 #: type -> pattern; the first that matches at a place wins.
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"(?i:(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key))\s{0,2}[=:]\s{0,2}[\"']?[^\s\"'<>]{6,200}",
+    "secret": r"(?i:(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key))\s{0,2}[=:]\s{0,2}[\"']?[^\s\"'<>]{6,}",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "hex_key": r"(?<![A-Za-z0-9])(?=[a-f0-9]{0,39}[a-f])(?=[a-f0-9]{0,39}[0-9])[a-f0-9]{40}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -121,6 +124,11 @@ def _round(key: bytes, tweak: str, text: str, mod: int) -> int:
     return int.from_bytes(hmac.new(key, f"{tweak}|{text}".encode(), hashlib.sha256).digest()[:16], "big") % mod
 
 
+def _shift(key: bytes, tweak: str, text: str, radix: list[int]) -> int:
+    """A number for ``_permute`` to add: one hash for each 120 bits of the half, so that every digit moves."""
+    return sum(_round(key, f"{tweak}|{j}" if j else tweak, text, 1 << 120) << 120 * j for j in range(math.prod(radix).bit_length() // 120 + 1))
+
+
 @lru_cache(maxsize=16)
 def _order(key: bytes, tweak: str, base: int) -> list[int]:
     return sorted(range(base), key=lambda v: _round(key, tweak, f"one|{v}", 1 << 64))
@@ -132,6 +140,13 @@ def _permute(key: bytes, tweak: str, symbols: list[int], bases: list[int]) -> li
         return []
     if len(symbols) == 1:
         return [_order(key, tweak, bases[0])[symbols[0]]]
+    if len(symbols) > PIECE:
+        out, before = [], hashlib.sha256()
+        for at in range(0, len(symbols), PIECE):
+            part = symbols[at : at + PIECE]
+            out += _permute(key, f"{tweak}|{at}|{before.hexdigest()}", part, bases[at : at + PIECE])
+            before.update(str(part).encode())
+        return out
     half = len(symbols) // 2
     left, right = symbols[:half], symbols[half:]
     lb, rb = bases[:half], bases[half:]
@@ -150,9 +165,9 @@ def _permute(key: bytes, tweak: str, symbols: list[int], bases: list[int]) -> li
 
     for r in range(ROUNDS):
         if r % 2:
-            right = shift(right, rb, _round(key, f"{tweak}|{r}", str(left), 1 << 120))
+            right = shift(right, rb, _shift(key, f"{tweak}|{r}", str(left), rb))
         else:
-            left = shift(left, lb, _round(key, f"{tweak}|{r}", str(right), 1 << 120))
+            left = shift(left, lb, _shift(key, f"{tweak}|{r}", str(right), lb))
     return left + right
 
 

@@ -107,6 +107,16 @@ def test_unsettled_collisions_are_an_error(spark, monkeypatch):
         pii.replace(table(spark, [f"Mr {a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]), "k")
 
 
+def test_long_secrets_go_whole(spark):
+    rnd = random.Random(9)
+    first = "".join(rnd.choice("abcXYZ019+/") for _ in range(2000))
+    other = first[:-1] + ("q" if first[-1] != "q" else "r")
+    out = [r["text"] for r in pii.replace(table(spark, [f"token={first} end", f"token={other} end"]), "k").orderBy("doc_id").collect()]
+    new = [t.removeprefix("token=").removesuffix(" end") for t in out]
+    assert [len(x) for x in new] == [2000, 2000] and new[0] != new[1]
+    assert not any(first[i : i + 12] in x for i in range(0, 1980, 4) for x in new)
+
+
 # --- packing ---
 def test_plan_places_every_piece_once():
     for seed in range(120):
