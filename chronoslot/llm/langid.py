@@ -4,7 +4,8 @@ Subwords are the 1- to 4-grams of a word with its edges. A text's vector is the
 mean of its subwords' embeddings; a softmax over it gives the language. Both are
 trained by stochastic gradient descent in numpy. A temperature fitted on rows
 set aside calibrates the probability, and texts below the score that the target
-precision needs are rejected.
+precision needs are rejected. So are texts whose subwords are not typical of any
+language learned: the cut-off lies between rows set aside and random letters.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out
-from .ngrams import grams, text_blocks, word_codes
+from .ngrams import grams, letters, text_blocks, word_codes
 
 BITS = 16
 DIM = 16
@@ -30,22 +31,30 @@ SAMPLE_PER_LANG = 900
 WINDOW_CHARS = 400
 #: Accepted texts must be right this often among the rows set aside for calibration.
 TARGET_PRECISION = 0.95
+#: At most this share of the texts set aside may be taken for no language learned.
+FALSE_REJECTION = 0.001
+#: The share of an unseen subword, in buckets of even share.
+UNSEEN = 0.01
+#: Texts set aside count whole and cut to so many characters; random texts have these lengths.
+CUTS = (6, 12, 25, 50, 100, 200, 400)
+RANDOM_TEXTS = 1400
 NONE = "und"
 
 
 @dataclass
 class LanguageModel:
     langs: list[str]
-    logits: np.ndarray  # of each bucket: its embedding times the softmax weights
+    logits: np.ndarray  # of each bucket: its embedding times the softmax weights, and last its log share in the languages' texts
     bias: np.ndarray
     temperature: float
     reject_below: float
+    typical_from: float = 0.0  # least mean log share of an accepted text
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, calibrated probability, accepted). Null or letterless: ``und``, 0, rejected."""
         if not text or not self.langs:
             return NONE, 0.0, False
-        total, n = np.zeros(len(self.langs)), 0
+        total, n = np.zeros(len(self.langs) + 1), 0
         for part in text_blocks(text, 3):
             c = word_codes(part)
             idx = grams(c, SIZES, BITS)
@@ -53,9 +62,9 @@ class LanguageModel:
             total += np.ones(len(idx), np.float32) @ self.logits.take(idx, axis=0)
         if not n:
             return NONE, 0.0, False
-        p = _softmax((total / n + self.bias) / self.temperature)
+        p = _softmax((total[:-1] / n + self.bias) / self.temperature)
         k = int(p.argmax())
-        return self.langs[k], float(p[k]), bool(p[k] >= self.reject_below)
+        return self.langs[k], float(p[k]), bool(p[k] >= self.reject_below and total[-1] / n >= self.typical_from)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -79,17 +88,18 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed:
     """Fit on (language, text). Every fifth row only calibrates. No rows: a model that rejects everything."""
     langs = sorted({lang for lang, _ in rows})
     if not langs:
-        return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 1.0)
+        return LanguageModel([], np.zeros((1 << BITS, 1), np.float32), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM))
     weights, bias = np.zeros((DIM, len(langs))), np.zeros(len(langs))
-    data = []
+    data, texts = [], []
     for lang, text in rows:
         c = word_codes(text)
         idx = grams(c, SIZES, BITS)
         if len(idx):
             u, k = np.unique(idx, return_counts=True)
             data.append((langs.index(lang), u, k / k.sum()))
+            texts.append(text)
     held, fit = data[::5], [d for i, d in enumerate(data) if i % 5] or data
     steps, done = epochs * len(fit), 0
     for _ in range(epochs):
@@ -111,7 +121,43 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed:
     temps = np.geomspace(0.02, 50, 80)
     losses = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in temps] if len(y) else [0.0]
     t = float(temps[int(np.argmin(losses))]) if len(y) else 1.0
-    return LanguageModel(langs, logits, bias, t, _reject_below(_softmax(z / t), y))
+    typical = _typical(fit, len(langs))
+    aside = texts[::5]
+    return LanguageModel(langs, np.column_stack([logits, typical]), bias, t, _reject_below(_softmax(z / t), y), _typical_from(typical, aside, rng))
+
+
+def _typical(fit: list[tuple], n: int) -> np.ndarray:
+    """Log share of each bucket in the texts of ``n`` languages, each language with the same weight."""
+    share, texts = np.zeros((n, 1 << BITS)), np.zeros(n)
+    for y, u, part in fit:
+        share[y, u] += part
+        texts[y] += 1
+    mean = (share[texts > 0] / texts[texts > 0, None]).sum(axis=0) / max(1, (texts > 0).sum())
+    return np.log(mean * (1 << BITS) + UNSEEN).astype(np.float32)
+
+
+def _typical_from(typical: np.ndarray, texts: list[str], rng: np.random.Generator) -> float:
+    """Halfway between the clean texts set aside and random words of the same letters and of any others; where they overlap, what the clean ones allow."""
+
+    def means(some: list[str]) -> np.ndarray:
+        idx = (grams(word_codes(t), SIZES, BITS) for t in some)
+        return np.array([typical[i].mean(dtype=float) for i in idx if len(i)])
+
+    clean = means([t[:n] for t in texts for n in {*CUTS, len(t)} if n <= len(t)])
+    if not len(clean):
+        return 0.0
+    own = [c for c in sorted(set("".join(texts).lower())) if c.isalpha()]
+    every = [chr(c) for c in np.flatnonzero(letters())]
+
+    def word(of: list[str]) -> str:
+        return "".join(of[i] for i in rng.integers(0, len(of), rng.integers(2, 11)))
+
+    random = []
+    for k in range(RANDOM_TEXTS):
+        n = CUTS[k % len(CUTS)]
+        random.append(" ".join(word(every if k % 2 else own) for _ in range(n // 3 + 1))[:n])
+    least, most = float(np.quantile(clean, FALSE_REJECTION, method="lower")), float(np.quantile(means(random), 1 - FALSE_REJECTION))
+    return min(least, (least + most) / 2)
 
 
 def _reject_below(p: np.ndarray, y: np.ndarray) -> float:

@@ -190,6 +190,20 @@ def test_language(spark):
     assert 60 < len(drawn) < len(rows) and all(zlib.crc32(str(i).encode()) % 4 != 2 for i, (lang, t) in enumerate(rows) if (lang, t) in drawn and rows.count((lang, t)) == 1)
 
 
+def test_texts_of_no_learned_language_are_rejected():
+    rnd = random.Random(4)
+    vocab = {"aa": "haus strasse und nicht schule garten fenster wasser morgen abend".split(), "bb": "casa calle y no escuela jardin ventana agua manana noche".split()}
+    text = lambda v, n: " ".join(rnd.choice(v) for _ in range(n))
+    rows = [(lang, text(v, 40)) for lang, v in vocab.items() for _ in range(100)]
+    rnd.shuffle(rows)
+    m = langid.train(rows)
+    assert all(m.predict(text(v, n))[2] for v in vocab.values() for n in (3, 10, 40) for _ in range(50))
+    scripts = [(0x4E00, 0x5200), (0x627, 0x64A), (0x430, 0x450), (0xAC00, 0xB000), (0x61, 0x7B)]
+    for lo, hi in scripts:
+        noise = [" ".join("".join(chr(rnd.randrange(lo, hi)) for _ in range(rnd.randint(2, 9))) for _ in range(n)) for n in (10, 40, 200) for _ in range(20)]
+        assert not any(m.predict(t)[2] for t in noise)
+
+
 # --- nearest neighbours ---
 def brute(vectors, queries, k):
     out = {}
