@@ -78,7 +78,7 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = rows.groupBy(lang_col).agg(F.count("*").alias("_n"))
     share = F.pmod(F.xxhash64(F.col(id_col), F.lit("language sample")), F.lit(1 << 40))
     at = F.pmod(F.xxhash64(F.col(id_col), F.lit("window")), F.greatest(F.length(text_col) - WINDOW_CHARS, F.lit(0)) + 1) + 1
-    near = rows.join(F.broadcast(counts), lang_col).withColumn("_share", share).where(F.col("_share") * F.col("_n") < F.lit(2 * per_lang) * F.lit(float(1 << 40)))
+    near = rows.join(F.broadcast(counts), lang_col).withColumn("_share", share).where(F.col("_share").cast("double") * F.col("_n") < F.lit(2 * per_lang) * F.lit(float(1 << 40)))
     cut = near.select(lang_col, "_share", F.substring(F.col(text_col), at.cast("int"), F.lit(WINDOW_CHARS)).alias("_window"))
     first = cut.withColumn("_k", F.row_number().over(Window.partitionBy(lang_col).orderBy("_share", "_window"))).where(F.col("_k") <= per_lang)
     return [(r[0], r[1]) for r in first.where(F.col("_window").isNotNull()).orderBy("_share").select(lang_col, "_window").collect()]

@@ -204,6 +204,13 @@ def test_texts_of_no_learned_language_are_rejected():
         assert not any(m.predict(t)[2] for t in noise)
 
 
+def test_language_sample_of_very_many_rows(spark, monkeypatch):
+    """The bound of the sample's prefilter must hold for counts whose product with 2**40 is past 2**63."""
+    monkeypatch.setattr(langid.F, "count", lambda c: F.sum(F.lit(1 << 24)))
+    docs = spark.createDataFrame([(i, "haus und hof", "aa") for i in range(50)], "doc_id long, text string, lang string")
+    assert len(langid.training_rows(docs)) < 50
+
+
 # --- nearest neighbours ---
 def brute(vectors, queries, k):
     out = {}
