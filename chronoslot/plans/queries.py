@@ -449,8 +449,7 @@ def credit_level(t: Trace) -> DataFrame:
 def handoff_chain(t: Trace) -> DataFrame:
     i = L.instructions(t, attributes=False).select("entity_id", _event("birth_seq").alias("life"), "latency")
     w = Window.partitionBy("entity_id").orderBy("life")
-    i = i.withColumn("n", F.row_number().over(w))
-    links = i.withColumn("src", F.lag("life").over(w)).where("src is not null and (n - 1) % 20 <> 0").select("src", F.col("life").alias("dst"))
+    links = i.withColumn("src", F.lag("life").over(w)).where("src is not null").select("src", F.col("life").alias("dst"))
     return N.handoff_chains(links, i.select("life", "latency")).select("first_life", "last_life", "hops", "latency")
 
 

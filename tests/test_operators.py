@@ -95,6 +95,15 @@ def test_handoffs_and_meshes(spark):
     assert noc.catalog_scope(s, 2).name == "mesh" and noc.catalog_scope(s, 0) is None
 
 
+def test_handoff_chain_of_a_busy_user(spark, tmp_path):
+    """More lives of one user than any test table has are still one chain."""
+    rows = [(2 * i + d, 2 * i + d, 1, ("signup", "purchase")[d], 1.0, '{"k": 3}') for i in range(45) for d in (0, 1)]
+    df = spark.createDataFrame(rows, "event_id long, minute long, user_id long, event_type string, value double, props string")
+    df.selectExpr("event_id", "timestamp_seconds(1704067200 + 60 * minute) AS ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in queries.QUERIES["handoff_chain"](spark, str(tmp_path)).select("first_life", "last_life", "hops").collect()]
+    assert got == [(0, 88, 44)]
+
+
 def _norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else repr(round(v, 6) + 0.0)
