@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.trace import Field, Schema, Scope, Trace
+from ..plans.trace import CLEAR, SET, Field, Schema, Scope, Trace
 from ..plans.work import save
 from .lifecycle import FLUSHED, IN_FLIGHT, instructions, running
 
@@ -62,6 +62,41 @@ def handoff_chains(handoffs: DataFrame, lives: DataFrame) -> DataFrame:
     return ends.select(F.col("head").alias("first_life"), F.col("life").alias("last_life"), "hops", F.col("latency").cast("long").alias("latency"))
 
 
+def _births(trace: Trace) -> DataFrame:
+    """trace_id, scope, txn, seq, cycle, death of each life in every catalog; ``life`` is its trace and the seq of its birth."""
+    by_slot = Window.partitionBy("trace_id", "storage_id", "slot").orderBy("seq")
+    out = None
+    for s in trace.schema.storages:
+        at = next((i for n in ("txn_id", "entity_id") if (i := s.field_index(n)) is not None), None)
+        if at is None or not s.sparse or s.buffer:
+            continue
+        born = (F.col("action") == SET) & (F.col("field_index") == at)
+        rows = trace.on(s, SET, CLEAR).where(born | (F.col("action") == CLEAR))
+        rows = rows.withColumn("death", F.when(F.lead("action").over(by_slot) == CLEAR, F.lead("cycle").over(by_slot))).where(born)
+        part = rows.select("trace_id", F.lit(s.scope_id).cast("long").alias("scope"), F.col("value").cast("long").alias("txn"), "seq", "cycle", "death", F.struct("trace_id", "seq").alias("life"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("the trace has no catalog of transactions")
+    return out
+
+
+def handoff_lives(trace: Trace) -> DataFrame:
+    """life, latency of the transactions of all scopes, for :func:`handoff_chains`; 0 for lives in flight."""
+    return _births(trace).select("life", F.coalesce(F.col("death") - F.col("cycle"), F.lit(0)).alias("latency"))
+
+
+def handoff_links(trace: Trace) -> DataFrame:
+    """src, dst lives of each ``txn_handoff`` event: of the ids it names, those born last before it, since ids are reused."""
+    born = _births(trace).select("trace_id", "scope", "txn", "seq", "life", F.lit(None).cast("string").alias("side"))
+    field = lambda i: F.col("fields")[i].cast("long")
+    events = trace.event("txn_handoff").select("trace_id", "seq", F.explode(F.array(*[F.struct(F.lit(side).alias("side"), field(i).alias("scope"), field(i + 1).alias("txn")) for side, i in (("src", 0), ("dst", 2))])).alias("e"))
+    ends = events.select("trace_id", "e.scope", "e.txn", "seq", F.lit(None).cast(born.schema["life"].dataType).alias("life"), "e.side")
+    before = Window.partitionBy("trace_id", "scope", "txn").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    named = born.unionByName(ends).withColumn("life", F.last("life", ignorenulls=True).over(before)).where("side is not null")
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("life"))).alias(s)
+    return named.groupBy("trace_id", "seq").agg(side("src"), side("dst")).where("src is not null and dst is not null").select("src", "dst").distinct()
+
+
 def catalog_scope(schema: Schema, scope_id: int, protocol: str = "noc") -> Scope | None:
     """The nearest scope of ``protocol`` from a scope upwards: the catalog of a router's transactions."""
     by_id = {s.scope_id: s for s in schema.scopes}

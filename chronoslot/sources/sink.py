@@ -15,8 +15,8 @@ def write_file(trace: Trace, path: str, interval_ps: int = 10_000, summary: bool
     """
     w = TraceWriter(path, trace.schema, trace.properties, interval_ps)
     kinds = {e.name: e for e in trace.schema.event_types}
-    ops = trace.ops.selectExpr("seq", "time_ps", "'op' AS kind", "action", "storage_id", "slot", "field_index", "value", "NULL AS event", "NULL AS entity_id", "NULL AS arg", "NULL AS arg2", "NULL AS text")
-    ev = trace.events.selectExpr("seq", "time_ps", "'event' AS kind", "NULL AS action", "NULL AS storage_id", "NULL AS slot", "NULL AS field_index", "NULL AS value", "event", "entity_id", "arg", "arg2", "text")
+    ops = trace.ops.selectExpr("seq", "time_ps", "'op' AS kind", "action", "storage_id", "slot", "field_index", "value", "NULL AS event", "NULL AS entity_id", "NULL AS arg", "NULL AS arg2", "NULL AS fields", "NULL AS text")
+    ev = trace.events.selectExpr("seq", "time_ps", "'event' AS kind", "NULL AS action", "NULL AS storage_id", "NULL AS slot", "NULL AS field_index", "NULL AS value", "event", "entity_id", "arg", "arg2", "fields" if "fields" in trace.events.columns else "NULL AS fields", "text")
     open_at = None
     for r in ops.unionByName(ev).orderBy("seq").toLocalIterator():
         if r["time_ps"] != open_at:
@@ -30,6 +30,8 @@ def write_file(trace: Trace, path: str, interval_ps: int = 10_000, summary: bool
             e = kinds[r["event"]]
             if e.name == "annotate":
                 values = [r["entity_id"], w.string(r["text"] or "")]
+            elif r["fields"] is not None:
+                values = [int(v) for v in r["fields"]]
             elif e.name == "stall":
                 values = [r["arg"]]
             else:

@@ -260,23 +260,24 @@ def little(payload: F.Column, at: int, width: int) -> F.Column:
 
 
 def typed_events(items: DataFrame, schema: Schema, strings: DataFrame | None = None, period_ps: int = DEFAULT_PERIOD_PS) -> DataFrame:
-    """Event items with entity_id, arg, arg2 and text. Payloads that are too short are left out."""
+    """Event items with entity_id, arg, arg2 and text, and all values of the payload as ``fields``. Payloads that are too short are left out."""
     out = None
     for e in schema.event_types:
         width = C.slot_size(e.fields)
-        values, at = [], 0
-        for f in e.fields[:3]:
-            values.append(little(F.col("payload"), at, f.width).cast("long"))
+        fields, at = [], 0
+        for f in e.fields:
+            fields.append(little(F.col("payload"), at, f.width))
             at += f.width
+        values = [v.cast("long") for v in fields[:3]]
         null = F.lit(None).cast("long")
         if e.name == "stall":
             values = [null, *values]
         values += [null] * (3 - len(values))
         part = items.where((F.col("kind") == "event") & (F.col("event_type_id") == e.event_type_id) & (F.length("payload") >= width))
-        part = part.select("trace_id", "seg_id", "seq", "time_ps", F.expr(f"time_ps div {period_ps}").alias("cycle"), F.lit(e.name).alias("event"), values[0].alias("entity_id"), values[1].alias("arg"), values[2].alias("arg2"))
+        part = part.select("trace_id", "seg_id", "seq", "time_ps", F.expr(f"time_ps div {period_ps}").alias("cycle"), F.lit(e.name).alias("event"), values[0].alias("entity_id"), values[1].alias("arg"), values[2].alias("arg2"), F.array(*fields).cast("array<decimal(20,0)>").alias("fields"))
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return items.limit(0).select("trace_id", "seg_id", "seq", "time_ps", F.lit(0).cast("long").alias("cycle"), F.lit("").alias("event"), *[F.lit(None).cast("long").alias(c) for c in ("entity_id", "arg", "arg2")], F.lit(None).cast("string").alias("text"))
+        return items.limit(0).select("trace_id", "seg_id", "seq", "time_ps", F.lit(0).cast("long").alias("cycle"), F.lit("").alias("event"), *[F.lit(None).cast("long").alias(c) for c in ("entity_id", "arg", "arg2")], F.lit(None).cast("array<decimal(20,0)>").alias("fields"), F.lit(None).cast("string").alias("text"))
     if strings is None:
         return out.withColumn("text", F.lit(None).cast("string"))
     texts = strings.select("trace_id", F.col("idx").alias("_i"), "text")
@@ -285,16 +286,19 @@ def typed_events(items: DataFrame, schema: Schema, strings: DataFrame | None = N
 
 
 def load(spark: SparkSession, path: str, core: str | None = None) -> Trace:
-    """A file, or several of one schema, as a trace. The CPU scope is the first, or the one named."""
-    from ..plans.resolve import clock_period, stage_names
+    """A file, or several of one schema, as a trace. The CPU scope is the first, or the one named; without any, the first clock counts."""
+    from ..plans.resolve import clock_period, cores, stage_names
 
     register(spark)
     first = TraceFile(paths_of({"path": path})[0])
-    period = clock_period(first.schema, core)
+    # an interconnect's trace need not have a core
+    has_core = core is not None or bool(cores(first.schema))
+    period = clock_period(first.schema, core) if has_core else next((p for _, p in first.schema.clocks), DEFAULT_PERIOD_PS)
+    stages = stage_names(first.schema, first.properties) if has_core or first.schema.enum("pipeline_stage") is not None else []
     read = lambda t: spark.read.format("chronoslot").option("table", t).load(path)
     items = read("items")
     cycle = F.expr(f"time_ps div {period}")
     ops = items.where("kind = 'op'").select("trace_id", "seg_id", "seq", "time_ps", cycle.alias("cycle"), "storage_id", "slot", "field_index", "action", "value")
     h = first.header
     info = {"version": f"{h.version[0]}.{h.version[1]}", "flags": h.flags, "total_time_ps": h.total_time_ps, "segments": h.num_segments, "checkpoint_interval_ps": first.interval_ps, "complete": bool(h.flags & C.F_COMPLETE)}
-    return Trace(first.schema, ops, typed_events(items, first.schema, read("strings"), period), stage_names(first.schema, first.properties), period, first.properties, read("segments"), read("strings"), info)
+    return Trace(first.schema, ops, typed_events(items, first.schema, read("strings"), period), stages, period, first.properties, read("segments"), read("strings"), info)

@@ -1,10 +1,12 @@
 import pytest
 from fixtures import three_instructions
 
-from chronoslot.operators import buffers, lifecycle, report, state
+from chronoslot.operators import buffers, lifecycle, noc, report, state
 from chronoslot.operators.counters import samples
 from chronoslot.plans import resolve
-from chronoslot.sources import codec, trace_format
+from chronoslot.plans.trace import Field
+from chronoslot.sources import codec, sink, trace_format
+from chronoslot.sources.builder import SchemaBuilder, TraceWriter
 
 
 @pytest.fixture(scope="module")
@@ -125,6 +127,37 @@ def test_unfinished_file(spark, tmp_path):
     assert trace_format.TraceFile(str(path)).strings() == ["nop #0", "nop #1", "nop #2"]
 
 
+def test_handoffs_of_a_file(spark, tmp_path):
+    """Four fields of an event come back from a file and a copy of it; an id that is reused is the life before the event."""
+    b = SchemaBuilder()
+    b.clock_domain("clk", 1000)
+    root = b.scope("root", clock_id=0)
+    scopes = [b.scope(n, root, "noc") for n in ("a", "b")]
+    stores = [b.storage("transactions", 64, [Field("txn_id", "u32")], sparse=True, scope_id=s) for s in scopes]
+    handoff = b.event("txn_handoff", [Field("src_scope", "u16"), Field("src_txn_id", "u32"), Field("dst_scope", "u16"), Field("dst_txn_id", "u32")], root)
+    path, copy = str(tmp_path / "h.trace"), str(tmp_path / "copy.trace")
+    w = TraceWriter(path, b.build())
+    for k in range(2):  # txn 42 of a, then 7 of b, both used twice
+        for cycle in range(3):
+            w.begin_cycle((10 * k + cycle * (k + 1)) * 1000)
+            if cycle == 0:
+                w.slot_set(stores[0], 5, 0, 42)
+            if cycle == 1:
+                w.slot_clear(stores[0], 5)
+                w.slot_set(stores[1], 6, 0, 7)
+                w.event(handoff, scopes[0], 42, scopes[1], 7)
+            if cycle == 2:
+                w.slot_clear(stores[1], 6)
+            w.end_cycle()
+    w.close()
+    sink.write_file(trace_format.load(spark, path), copy, summary=False)
+    for p in (path, copy):
+        t = trace_format.load(spark, p)
+        assert [[int(v) for v in r["fields"]] for r in t.event("txn_handoff").collect()] == [[scopes[0], 42, scopes[1], 7]] * 2
+        chains = noc.handoff_chains(noc.handoff_links(t), noc.handoff_lives(t)).collect()
+        assert sorted((r["hops"], r["latency"]) for r in chains) == [(1, 2), (1, 4)]
+
+
 def test_resolution(trace):
     s = trace.schema
     assert resolve.core_scope(s).name == "core0" and resolve.clock_period(s) == 1000
