@@ -223,14 +223,14 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         part = per_word.where(F.length("word") > k).groupBy(F.substring("word", 1, k).alias("word")).agg(F.sum("c1").alias("c1"), F.sum("n").alias("n"), F.count(F.when(F.col("c1") > 0, 1)).alias("words")).withColumn("odds", odds).where(good & (F.col("words") >= STEM_WORDS)).select("word", F.lit(True).alias("stem"), "odds", "c1")
         stems = part if stems is None else stems.unionByName(part)
     found = exact.unionByName(stems).orderBy(F.desc("c1"), "word", "stem").limit(2 * MAX_TERMS).collect()
+    # a stem that only repeats one word's count adds nothing to it, and must not stand in for that word
+    whole = {r["word"]: r["c1"] for r in found if not r["stem"]}
+    found = [r for r in found if not r["stem"] or r["c1"] > 1.5 * max((c for w, c in whole.items() if w.startswith(r["word"])), default=0)]
     kept_stems: list[str] = []
     for r in sorted((r for r in found if r["stem"]), key=lambda r: len(r["word"])):
         if not any(r["word"].startswith(s) for s in kept_stems):
             kept_stems.append(r["word"])
-    # a stem that only repeats one word's count adds nothing to it
-    whole = {r["word"]: r["c1"] for r in found if not r["stem"]}
     kept = [r for r in found if (r["word"] in kept_stems if r["stem"] else not any(r["word"].startswith(s) for s in kept_stems) or r["c1"] >= 50)]
-    kept = [r for r in kept if not r["stem"] or r["c1"] > 1.5 * max((c for w, c in whole.items() if w.startswith(r["word"])), default=0)]
     return Lexicon([(r["word"], bool(r["stem"]), float(r["odds"])) for r in kept[:MAX_TERMS]])
 
 

@@ -367,6 +367,13 @@ def test_bpe_tables(spark):
 
 
 # --- toxicity ---
+def test_rare_terms_stay_in_the_lexicon(spark):
+    """The stem of three words adds nothing to the first of them, so that one must stay itself."""
+    rows = [(1, f"{w} alpha beta") for w in ["zorgela"] * 10 + ["zorgelb", "zorgelc"]] + [(0, "alpha beta gamma")] * 200
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "toxic int, text string"))
+    assert lexicon.features("zorgela")[0] > 0
+
+
 def osa(a, b):
     d = [[max(i, j) if 0 in (i, j) else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
