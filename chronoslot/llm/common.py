@@ -7,6 +7,7 @@ Intermediate tables go to the folder that the session names in
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one where none is set (tests)."""
+    """The cluster's shared folder. Where none is set, a temporary one, and that only in local mode: executors must see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="chronoslot-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -39,6 +42,9 @@ def work_path(spark: SparkSession, tag: str) -> str:
 
 #: Work tables of this session that were not discarded.
 saved: list[str] = []
+#: Seconds between two collections of the driver's garbage.
+GC_EVERY = 5.0
+_collected = [0.0]
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
@@ -48,7 +54,9 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     saved.append(path)
     # shuffle files of the steps that are written now go only when the driver collects what refers to them
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected[0] > GC_EVERY:
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out

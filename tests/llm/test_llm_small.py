@@ -271,27 +271,40 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
 
 
 # --- near duplicates ---
+def word_sets(texts):
+    """Sets of word 5-grams in plain Python, by the contract's own words."""
+    import re
+
+    out = []
+    for t in texts:
+        w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        out.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
 def brute_components(texts):
-    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    sets = word_sets(texts)
     root = list(range(len(texts)))
-    for _ in range(len(texts)):
-        changed = False
-        for i, a in enumerate(sets):
-            for j in range(i):
-                b = sets[j]
-                if a and b and 100 * len(a & b) >= 75 * len(a | b) and root[i] != root[j]:
-                    root[i] = root[j] = min(root[i], root[j])
-                    changed = True
-        if not changed:
-            break
-    return [(i, len(s), root[i]) for i, s in enumerate(sets)]
-
-
-@pytest.mark.parametrize("long_list,own", [(64, 64), (3, 4)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, long_list, own):
-    monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
-    monkeypatch.setattr(jaccard, "OWN_BLOCKS", own)
-    monkeypatch.setattr(jaccard, "BLOCK_NODES", 8)
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return [(i, len(s), top(i)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("long_list,own,list_max,bits", [(64, 64, 4096, 64), (3, 4, 4, 5)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, long_list, own, list_max, bits):
+    """The second case has long lists, lists dealt over buckets at three levels, and sets that share node numbers."""
+    for name, value in (("LONG_LIST", long_list), ("OWN_BLOCKS", own), ("BLOCK_NODES", 8), ("LIST_MAX", list_max), ("NODE_BITS", bits)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(components, "WRITE_FROM", 0 if bits == 5 else 1 << 40)
     rnd = random.Random(5)
     base = words(rnd, 60).split()
     texts = [*EDGE, "one two three", "ONE  two\tthree"]
@@ -303,10 +316,30 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, long_list, own):
     passage = words(rnd, 30)
     texts += [words(rnd, rnd.randrange(3, 80)) + " " + passage for _ in range(40)] + [words(rnd, 40) for _ in range(20)]
     texts += texts[20:30]
-    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(table(spark, texts)).collect())
+    df = table(spark, texts).withColumn("node", F.lit(1)).withColumn("_text", F.lit("clash"))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect())
     assert got == brute_components(texts)
 
 
+def test_candidates_meet_under_every_order(spark):
+    """Pairs of equal size and close bucket counts go before their sets are fetched, if the prefixes of one order do not meet."""
+    rng = np.random.default_rng(3)
+    levels = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
+    pool = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    dropped = 0
+    for _ in range(300):
+        a, b = (np.unique(rng.choice(pool, 60, replace=False)) for _ in range(2))
+        own = [jaccard.prefixes(x, levels) for x in (a, b)]
+        meet = [len(np.intersect1d(p, q)) > 0 for p, q in zip(*own, strict=True)]
+        coded = [b"".join(jaccard.marks(p).tobytes() for p in x[1:]) for x in own]
+        assert jaccard.orders_meet(*coded) or not all(meet[1:])
+        dropped += not jaccard.orders_meet(*coded)
+        # sets that link meet under every order
+        c = np.unique(np.concatenate([a[: len(a) - 4], b[:4]]))
+        assert not jaccard.links(len(np.intersect1d(a, c)), len(a), len(c)) or all(len(np.intersect1d(p, q)) for p, q in zip(own[0], jaccard.prefixes(c, levels), strict=True))
+    assert dropped > 200
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(table(spark, ["a"]).limit(0)).isEmpty()
     rows = jaccard.near_duplicates(table(spark, [None, "", "a b c d e f"], copies=2)).collect()
