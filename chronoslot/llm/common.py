@@ -86,6 +86,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, longer by underscores while a column has it; Spark does not tell upper from lower case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     """True where crc32(id as text) mod 4 is 2."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2

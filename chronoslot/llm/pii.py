@@ -4,8 +4,10 @@ A surrogate comes from a keyed permutation of the entity's own format: digits
 stay digits, letters stay letters of their script and case, and punctuation,
 country and network prefixes, Luhn validity and top-level domains stay. A
 permutation maps equal entities to equal surrogates and different ones to
-different ones. A given name gets another of its gender and script. A secret
-without a letter or digit becomes a word of letters.
+different ones. A given name gets another of its gender and script; any other
+word of a name is an entity of its own, whatever its case, so "Mrs Anna Meyer",
+"A. MEYER" with a title and a later "Meyer" in the same text stay one person. A
+secret without a letter or digit becomes a word of letters.
 
 Collision checks run over all entities of the table: a surrogate that equals a
 real entity of the table, or that two entities share, is drawn again from the
@@ -30,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save
+from .common import fresh, save
 
 #: Exceptions to the first permutation are shipped to all tasks up to so many; beyond, they are joined.
 SHIPPED_EXCEPTIONS = 100_000
 #: Permutations tried for one entity in its own format; from then on each round makes the format longer by LONGER symbols.
-MAX_ATTEMPTS = 32
+MAX_ATTEMPTS = 8
 MAX_LENGTHENED = 16
 LONGER = 2
 ROUNDS = 8
@@ -44,8 +46,8 @@ PIECE = 512
 
 # fixed values: given names by script and gender
 NAMES = {
-    ("latin", "f"): "Alice Anna Barbara Carla Carmen Claire Clara Diana Elena Emma Eva Fiona Greta Hannah Helen Ingrid Isabel Jane Julia Karin Laura Linda Lucia Maria Marie Marta Mary Nina Olivia Paula Rosa Sara Sofia Sophie Susan Teresa Vera".split(),
-    ("latin", "m"): "Adam Albert Andreas Antonio Bruno Carlos Daniel David Diego Erik Felix Frank Georg Hans Henri Hugo Ivan Jack James Jean Johann John Jorge Juan Karl Louis Lucas Luis Marco Martin Max Michael Oliver Oscar Otto Paul Peter Pierre Robert Simon Thomas Victor".split(),
+    ("latin", "f"): "Aisha Alice Amina Anita Anna Barbara Carla Carmen Claire Clara Diana Elena Emma Eva Fatima Fiona Greta Hannah Helen Ingrid Isabel Jane Julia Karin Laura Linda Lucia Maria Marie Marta Mary Mei Nina Noor Olivia Paula Priya Rosa Sara Sofia Sophie Susan Teresa Vera Yuki Zeynep".split(),
+    ("latin", "m"): "Adam Ahmed Albert Ali Andreas Arjun Antonio Bruno Carlos Daniel David Diego Erik Felix Frank Georg Hans Henri Hassan Hiroshi Hugo Ibrahim Ivan Jack James Jean Johann John Jorge Juan Karl Kenji Louis Lucas Luis Marco Martin Max Mehmet Michael Mohammed Muhammad Oliver Oscar Otto Paul Peter Pierre Rahul Raj Robert Simon Thomas Victor Wei".split(),
     ("cyrillic", "f"): "Анна Вера Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split(),
     ("cyrillic", "m"): "Алексей Андрей Борис Виктор Дмитрий Иван Михаил Николай Павел Сергей".split(),
     ("greek", "f"): "Άννα Ελένη Ιωάννα Κατερίνα Μαρία Σοφία".split(),
@@ -53,14 +55,17 @@ NAMES = {
 }
 # fixed values: titles by gender ("" leaves it to the name)
 TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Mademoiselle Señora Sra Госпожа Κυρία".split(), "m": "Mr Herr Monsieur Señor Sr Господин Κύριος".split(), "": "Dr Prof Professor".split()}
+_TITLES = frozenset(t for g in TITLES.values() for t in g)
 GENDER_OF = {n: (s, g) for (s, g), names in NAMES.items() for n in names}
 
 _title = "|".join(t for g in TITLES.values() for t in g)
 _given = "|".join(n for names in NAMES.values() for n in names)
 # vowel signs and accents of their own belong to the letters before them
 _marks = re.escape("".join(c for c in map(chr, range(0x300, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M"))
-_letters = rf"(?:[^\W\d_]|[{_marks}])+"
-_surname = rf"{_letters}(?:[-'’]{_letters})?"
+_lower = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Ll")
+_letters = rf"(?:[^\W\d_]|[{_marks}])"
+# a word of a name does not begin with a small letter and is no title
+_word = rf"(?!(?:{_title})\b)[^\W\d_{_lower}]{_letters}*(?:[-'’]{_letters}+)?"
 
 #: type -> pattern; the first that matches at a place wins.
 PATTERNS = {
@@ -73,18 +78,22 @@ PATTERNS = {
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])(?!\.\d)",
     "ipv4": r"(?<![\w.-])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w-])(?!\.\d)",
     "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}(?:[ .-]\d{2,4}){1,3}(?![\w-])(?!\.\d)|(?<![\w+])\+\d{9,15}(?!\w)",
-    "name": rf"\b(?:{_title})\.? (?:{_surname} ){{0,2}}[^\W\d_a-z]{_surname}|\b(?:{_given}) [^\W\d_a-z]{_surname}",
+    "name": rf"\b(?:{_title})\.? {_word}(?: {_word}){{0,2}}|\b(?:{_given}) {_word}",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 _FIND_NAME = re.compile(f"(?P<name>{PATTERNS['name']})")
 #: A text without these characters and without a listed name or title holds no entity, so the patterns need not be tried.
 _HINT = re.compile(r"[0-9@=:]")
 _CAPITALISED = re.compile(r"[A-ZÀ-ÞΑ-ΩΆ-ΏА-Я][^\W\d_]+")
-_LISTED = frozenset(GENDER_OF) | {t for g in TITLES.values() for t in g}
+_BARE = re.compile(rf"(?<!\w){_word}")
+_LISTED = frozenset(GENDER_OF) | _TITLES
 
 
 def find(text: str | None) -> Iterator[tuple[str, int, int]]:
-    """(type, start, end) of each entity; for a secret, of its value alone."""
+    """(type, start, end) of each entity in order; for a secret, of its value alone.
+
+    The words of a name that was found are names wherever else they stand alone in the text.
+    """
     if not text:
         return
     if _HINT.search(text):
@@ -93,6 +102,7 @@ def find(text: str | None) -> Iterator[tuple[str, int, int]]:
         return
     else:
         pattern = _FIND_NAME
+    out, known = [], set()
     for m in pattern.finditer(text):
         kind, start, end = m.lastgroup, *m.span()
         if kind == "secret":
@@ -100,8 +110,23 @@ def find(text: str | None) -> Iterator[tuple[str, int, int]]:
             end -= len(m[0]) - len(m[0].rstrip(".,;:!?)"))
         if kind == "iban" and not _iban_valid(m[0]):
             continue
+        if kind == "name":
+            known.update(w.lower() for w in m[0].split(" ") if not _is_title(w))
         if end > start:
-            yield kind, start, end
+            out.append((kind, start, end))
+    if known:
+        taken, k = list(out), 0
+        for m in _BARE.finditer(text):
+            while k < len(taken) and taken[k][2] <= m.start():
+                k += 1
+            if m[0].lower() in known and (k == len(taken) or taken[k][1] >= m.end()):
+                out.append(("name", *m.span()))
+        out.sort(key=lambda x: x[1])
+    yield from out
+
+
+def _is_title(word: str) -> bool:
+    return word.rstrip(".") in _TITLES
 
 
 def _iban_valid(s: str) -> bool:
@@ -117,9 +142,19 @@ def canonical(kind: str, entity: str) -> str:
         return re.sub(r"[^\d+]", "", entity)
     if kind == "email":
         return entity.lower()
+    if kind == "surname":
+        low = entity.lower()
+        return low if len(low) == len(entity) else entity
     return entity
 
 
+def entities_of(kind: str, mention: str) -> list[tuple[str, str]]:
+    """(kind, canonical entity) of what a mention needs surrogates for: of a name, its words but titles and listed given names."""
+    if kind != "name":
+        return [(kind, canonical(kind, mention))]
+    return [("surname", canonical("surname", w)) for w in mention.split(" ") if not _is_title(w) and w not in GENDER_OF]
+
+
 def _round(key: bytes, tweak: str, text: str, mod: int) -> int:
     return int.from_bytes(hmac.new(key, f"{tweak}|{text}".encode(), hashlib.sha256).digest()[:16], "big") % mod
 
@@ -258,7 +293,7 @@ def _lengthen(kind: str, entity: str, by: int) -> str:
         return entity + ".0" * by
     if kind == "card":
         return f"{entity[:-1]}{'0' * by}{entity[-1]}"
-    if kind == "name":
+    if kind == "surname":
         return entity + entity[-1] * by
     return entity + ("A" if kind in ("iban", "access_key") else "0" if kind != "secret" or re.fullmatch(r"[0-9a-f]+", entity) else "a") * by
 
@@ -294,38 +329,22 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0, longer: int
         return entity[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[v] for v in _permute(key, tweak, body, [36] * len(body)))
     if kind == "hex_key" or kind == "secret" and re.fullmatch(r"[0-9a-f]+", entity):
         return "".join("0123456789abcdef"[v] for v in _permute(key, f"{tweak}|hex{len(entity)}", [int(c, 16) for c in entity], [16] * len(entity)))
-    if kind == "name":
-        return _name(key, tweak, entity)
     return _by_format(key, tweak, entity)
 
 
-def _script(word: str) -> str:
-    for c in word:
-        name = unicodedata.name(c, "")
-        for s in ("CYRILLIC", "GREEK"):
-            if name.startswith(s):
-                return s.lower()
-    return "latin"
-
-
-def _name(key: bytes, tweak: str, entity: str) -> str:
-    """Titles stay; given names change within gender and script; the surname keeps script, case and length."""
-    words = entity.split(" ")
-    gender = next((g for w in words for g, ts in TITLES.items() if g and w.rstrip(".") in ts), None)
-    out = []
-    for i, w in enumerate(words):
-        if i == 0 and any(w.rstrip(".") in ts for ts in TITLES.values()):
-            out.append(w)
-        elif w in GENDER_OF:
-            script, own = GENDER_OF[w]
-            names = NAMES[script, own]
-            out.append(names[_permute(key, f"{tweak}|given|{script}|{own}", [names.index(w)], [len(names)])[0]])
-        elif i < len(words) - 1 and gender and (_script(w), gender) in NAMES:
-            # a given name that is not listed keeps its own format, so that distinct names stay distinct
-            out.append(_by_format(key, tweak + "|given", w))
-        else:
-            out.append(_by_format(key, tweak + "|surname", w))
-    return " ".join(out)
+def given_name(key: bytes, name: str) -> str:
+    """Another listed name of its gender and script; different names get different ones."""
+    script, gender = GENDER_OF[name]
+    names = NAMES[script, gender]
+    return names[_permute(key, f"given|{script}|{gender}", [names.index(name)], [len(names)])[0]]
+
+
+def replacement(kind: str, mention: str, key: bytes, of) -> str:
+    """What stands in for a mention; ``of(kind, entity)`` gives the surrogate of an entity. Titles stay."""
+    if kind != "name":
+        return render(kind, mention, of(kind, canonical(kind, mention)))
+    words = mention.split(" ")
+    return " ".join(w if _is_title(w) else given_name(key, w) if w in GENDER_OF else render("surname", w, of("surname", canonical("surname", w))) for w in words)
 
 
 def render(kind: str, mention: str, replacement: str) -> str:
@@ -334,8 +353,9 @@ def render(kind: str, mention: str, replacement: str) -> str:
         chars = iter(replacement)
         skip = " -" if kind != "phone" else " -.()"
         return "".join(c if c in skip else next(chars) for c in mention) + "".join(chars)
-    if kind == "email":
-        return "".join(r.upper() if m.isupper() else r for m, r in zip(mention, replacement, strict=False)) if len(mention) == len(replacement) else replacement
+    if kind in ("email", "surname") and (kind == "surname" or len(mention) == len(replacement)):
+        cased = "".join(r.upper() if m.isupper() and len(r.upper()) == 1 else r for m, r in zip(mention, replacement, strict=False))
+        return cased + replacement[len(mention) :]
     return replacement
 
 
@@ -345,7 +365,7 @@ def entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = key.encode()
         for b in batches:
-            seen = {(kind, canonical(kind, s[a:e])) for t in b.column(0) if (s := t.as_py()) for kind, a, e in find(s)}
+            seen = {x for t in b.column(0) if (s := t.as_py()) for kind, a, e in find(s) for x in entities_of(kind, s[a:e])}
             rows = [(kind, x, surrogate(kind, x, k)) for kind, x in seen]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "entity", "surrogate"])
 
@@ -387,27 +407,33 @@ def exceptions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with surrogates in the text; columns and rows stay as they were.
 
-    Null and empty texts stay. With ``counts``, n_entities long is appended.
-    Equal entities have equal surrogates across the table, repeated rows included.
+    Null and empty texts stay; very long ones are read whole. With ``counts``,
+    n_entities long is appended (and replaces a column of that name). Equal
+    entities have equal surrogates across the table, repeated rows and rows
+    without an id included: rows are found by their text, so ``id_col`` is not
+    read. An empty table gives an empty one.
     """
     found = exceptions(docs, key, text_col)
-    n = found.count()
     keep = [c for c in docs.columns if not (counts and c == "n_entities")]
     rows = docs.select(*keep)
+    own_col, hash_col = fresh(docs.columns, "_own"), fresh(docs.columns, "_hash")
     shipped: dict[tuple[str, str], str] = {}
-    if n <= SHIPPED_EXCEPTIONS:
+    if found.count() <= SHIPPED_EXCEPTIONS:
         shipped = {(r["kind"], r["entity"]): r["surrogate"] for r in found.collect()}
-        rows = rows.withColumn("_own", F.lit(None).cast("map<string,string>"))
+        rows = rows.withColumn(own_col, F.lit(None).cast("map<string,string>"))
     else:
 
         def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = sorted({(d, kind, canonical(kind, s[a:e])) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if d is not None and (s := t.as_py()) for kind, a, e in find(s)})
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], b.schema.field(0).type), *(pa.array([r[i] for r in out], pa.string()) for i in (1, 2))], names=["_id", "kind", "entity"])
-
-        places = docs.select(id_col, text_col).mapInArrow(mentions, T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("kind", T.StringType()), T.StructField("entity", T.StringType())]))
-        own = places.join(found, ["kind", "entity"]).dropDuplicates(["_id", "kind", "entity"]).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "entity"), "surrogate"))).alias("_own"))
-        rows = rows.join(own, F.col(id_col) == F.col("_id"), "left").drop("_id")
+                out = sorted({(h, *x) for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if (s := t.as_py()) for kind, a, e in find(s) for x in entities_of(kind, s[a:e])})
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[i] for r in out], pa.string()) for i in (1, 2))], names=["hash", "kind", "entity"])
+
+        text_hash = F.xxhash64(F.col(text_col))
+        places = docs.select(text_hash, text_col).mapInArrow(mentions, "hash long, kind string, entity string")
+        own = places.join(found, ["kind", "entity"]).dropDuplicates(["hash", "kind", "entity"]).groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "entity"), "surrogate"))).alias(own_col))
+        # written, so that skew handling can split the rows of one text
+        own = save(own.withColumnRenamed("hash", hash_col), "own-surrogates")
+        rows = rows.withColumn(hash_col, text_hash).join(own, hash_col, "left")
     schema = T.StructType([docs.schema[c] for c in keep] + ([T.StructField("n_entities", T.LongType())] if counts else []))
     at = keep.index(text_col)
 
@@ -419,18 +445,21 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
                 s = t.as_py()
                 parts, last, total = [], 0, 0
                 mine = dict(own.as_py() or ())
-                for kind, a, e in find(s):
-                    x = canonical(kind, s[a:e])
-                    new = shipped.get((kind, x)) or mine.get(f"{kind}\0{x}")
+
+                def of(kind: str, x: str) -> str:
+                    new = shipped.get((kind, x)) or mine.get(f"{kind}\0{x}")  # noqa: B023
                     if new is None:
                         if len(memo) > 200_000:
                             memo.clear()
                         new = memo.get((kind, x)) or memo.setdefault((kind, x), surrogate(kind, x, k))
-                    parts += [s[last:a], render(kind, s[a:e], new)]
+                    return new
+
+                for kind, a, e in find(s):
+                    parts += [s[last:a], replacement(kind, s[a:e], k, of)]
                     last, total = e, total + 1
                 texts.append("".join([*parts, s[last:]]) if parts else s)
                 totals.append(total)
             cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(keep)])]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(totals, pa.int64())] if counts else []), names=schema.names)
 
-    return rows.select(*keep, "_own").mapInArrow(run, schema)
+    return rows.select(*keep, own_col).mapInArrow(run, schema)
