@@ -4,8 +4,11 @@ Subwords are the 1- to 4-grams of a word with its edges. A text's vector is the
 mean of its subwords' embeddings; a softmax over it gives the language. Both are
 trained by stochastic gradient descent in numpy. A temperature fitted on rows
 set aside calibrates the probability, and texts below the score that the target
-precision needs are rejected. So are texts whose subwords are not typical of any
-language learned: the cut-off lies between rows set aside and random letters.
+precision needs are rejected. So are texts whose subwords are not typical of the
+language predicted. That cut-off depends on a text's length and lies between
+rows set aside under their own language, and what must be rejected: the same
+rows under every other language, as if theirs had not been learned, and random
+letters.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ DIM = 16
 SIZES = (1, 2, 3, 4)
 #: The classifier is fitted on at most so many labelled rows of each language, drawn by a hash of the id.
 SAMPLE_PER_LANG = 900
-#: Of each drawn row, a window of so many characters at a hashed place.
+#: Of each drawn row, texts are read whole; the cut-off for texts of no learned language is set on so many characters at a hashed place too.
 WINDOW_CHARS = 400
 #: Accepted texts must be right this often among the rows set aside for calibration.
 TARGET_PRECISION = 0.95
@@ -39,22 +42,24 @@ UNSEEN = 0.01
 CUTS = (6, 12, 25, 50, 100, 200, 400)
 RANDOM_TEXTS = 1400
 NONE = "und"
+#: The step for a text grows with the root of its number of subwords, up to so many.
+SPREAD = 1000
 
 
 @dataclass
 class LanguageModel:
     langs: list[str]
-    logits: np.ndarray  # of each bucket: its embedding times the softmax weights, and last its log share in the languages' texts
+    logits: np.ndarray  # of each bucket: its embedding times the softmax weights, then its log share in each language's texts
     bias: np.ndarray
     temperature: float
     reject_below: float
-    typical_from: float = 0.0  # least mean log share of an accepted text
+    typical_from: tuple[tuple[float, ...], tuple[float, ...]] = ((0.0,), (0.0,))  # logs of numbers of subwords, and the least mean log share of an accepted text of so many
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, calibrated probability, accepted). Null or letterless: ``und``, 0, rejected."""
         if not text or not self.langs:
             return NONE, 0.0, False
-        total, n = np.zeros(len(self.langs) + 1), 0
+        total, n = np.zeros(2 * len(self.langs)), 0
         for part in text_blocks(text, 3):
             c = word_codes(part)
             idx = grams(c, SIZES, BITS)
@@ -62,9 +67,10 @@ class LanguageModel:
             total += np.ones(len(idx), np.float32) @ self.logits.take(idx, axis=0)
         if not n:
             return NONE, 0.0, False
-        p = _softmax((total[:-1] / n + self.bias) / self.temperature)
+        p = _softmax((total[: len(self.langs)] / n + self.bias) / self.temperature)
         k = int(p.argmax())
-        return self.langs[k], float(p[k]), bool(p[k] >= self.reject_below and total[-1] / n >= self.typical_from)
+        typical = total[len(self.langs) + k] / n >= np.interp(np.log(n), *self.typical_from)
+        return self.langs[k], float(p[k]), bool(p[k] >= self.reject_below and typical)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -72,34 +78,70 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> list[tuple[str, str]]:
-    """(language, window of text) of the sample: labelled rows that are not held out."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    counts = rows.groupBy(lang_col).agg(F.count("*").alias("_n"))
-    share = F.pmod(F.xxhash64(F.col(id_col), F.lit("language sample")), F.lit(1 << 40))
-    at = F.pmod(F.xxhash64(F.col(id_col), F.lit("window")), F.greatest(F.length(text_col) - WINDOW_CHARS, F.lit(0)) + 1) + 1
-    near = rows.join(F.broadcast(counts), lang_col).withColumn("_share", share).where(F.col("_share").cast("double") * F.col("_n") < F.lit(2 * per_lang) * F.lit(float(1 << 40)))
-    cut = near.select(lang_col, "_share", F.substring(F.col(text_col), at.cast("int"), F.lit(WINDOW_CHARS)).alias("_window"))
-    first = cut.withColumn("_k", F.row_number().over(Window.partitionBy(lang_col).orderBy("_share", "_window"))).where(F.col("_k") <= per_lang)
-    return [(r[0], r[1]) for r in first.where(F.col("_window").isNotNull()).orderBy("_share").select(lang_col, "_window").collect()]
+@dataclass
+class Example:
+    """A drawn row: its language, the subword buckets of its whole text with their shares, and a window of the text."""
+
+    lang: str
+    buckets: np.ndarray
+    share: np.ndarray
+    window: str
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Subword buckets of a whole text and how often each is there."""
+    n = np.zeros(1 << BITS, np.int64)
+    for part in text_blocks(text, 3):
+        n += np.bincount(grams(word_codes(part), SIZES, BITS), minlength=1 << BITS)
+    u = np.flatnonzero(n)
+    return u, n[u]
+
+
+def example(lang: str, text: str, window: str | None = None) -> Example:
+    u, n = counted(text)
+    return Example(lang, u, n / max(1, n.sum()), text[:WINDOW_CHARS] if window is None else window)
+
 
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> list[Example]:
+    """The sample: at most ``per_lang`` labelled rows of each language that are not held out, drawn by a hash of the id.
 
-def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> LanguageModel:
-    """Fit on (language, text). Every fifth row only calibrates. No rows: a model that rejects everything."""
-    langs = sorted({lang for lang, _ in rows})
+    Whole texts are counted where they lie; the driver gets bucket counts, at most 2 ** BITS
+    of them a row. Rows without a language, an id or a text are not drawn; rows that repeat
+    an id count each, ties go by the text's hash. An empty table gives an empty sample.
+    """
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = plain.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 40))
+    at = F.pmod(F.xxhash64("id", F.lit("window")), F.greatest(F.length("text") - WINDOW_CHARS, F.lit(0)) + 1) + 1
+    # by numbers first, so that texts of few rows travel
+    near = rows.join(F.broadcast(counts), "lang").withColumn("share", share).where(F.col("share").cast("double") * F.col("n") < F.lit(2 * per_lang) * F.lit(float(1 << 40)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [counted(t.as_py()) for t in b.column(3)]
+            parts = [pa.array([x[0].astype(np.uint16 if BITS <= 16 else np.uint32).tobytes() for x in got], pa.binary()), pa.array([np.minimum(x[1], 0xFFFFFFFF).astype(np.uint32).tobytes() for x in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *parts], names=["lang", "share", "window", "buckets", "counts"])
+
+    cut = near.select("lang", "share", F.substring("text", at.cast("int"), F.lit(WINDOW_CHARS)).alias("window"), "text").mapInArrow(count, "lang string, share long, window string, buckets binary, counts binary")
+    first = cut.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("share", F.xxhash64("buckets", "counts"), "window"))).where(F.col("k") <= per_lang)
+    out = []
+    for r in first.orderBy("share", "k", "lang").select("lang", "buckets", "counts", "window").collect():
+        n = np.frombuffer(r["counts"], np.uint32).astype(float)
+        out.append(Example(r["lang"], np.frombuffer(r["buckets"], np.uint16 if BITS <= 16 else np.uint32).astype(np.int64), n / max(1.0, n.sum()), r["window"]))
+    return out
+
+
+def train(rows: list[Example], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> LanguageModel:
+    """Fit on the sample. Every fifth row only calibrates. No rows: a model that rejects everything."""
+    rows = [r for r in rows if len(r.buckets)]
+    langs = sorted({r.lang for r in rows})
     if not langs:
-        return LanguageModel([], np.zeros((1 << BITS, 1), np.float32), np.zeros(0), 1.0, 1.0)
+        return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM))
     weights, bias = np.zeros((DIM, len(langs))), np.zeros(len(langs))
-    data, texts = [], []
-    for lang, text in rows:
-        c = word_codes(text)
-        idx = grams(c, SIZES, BITS)
-        if len(idx):
-            u, k = np.unique(idx, return_counts=True)
-            data.append((langs.index(lang), u, k / k.sum()))
-            texts.append(text)
+    data, texts = [(langs.index(r.lang), r.buckets, r.share) for r in rows], [r.window for r in rows]
     held, fit = data[::5], [d for i, d in enumerate(data) if i % 5] or data
     steps, done = epochs * len(fit), 0
     for _ in range(epochs):
@@ -113,7 +155,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed:
             back = weights @ g
             weights -= step * np.outer(x, g)
             bias -= 0.1 * step * g
-            emb[u] -= step * len(u) ** 0.5 * np.outer(share, back)
+            emb[u] -= step * min(len(u), SPREAD) ** 0.5 * np.outer(share, back)
     logits = (emb @ weights).astype(np.float32)
     held = held or fit
     z = np.array([share @ logits[u] + bias for _, u, share in held]).reshape(len(held), len(langs))
@@ -122,42 +164,47 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed:
     losses = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in temps] if len(y) else [0.0]
     t = float(temps[int(np.argmin(losses))]) if len(y) else 1.0
     typical = _typical(fit, len(langs))
-    aside = texts[::5]
+    aside = [(y, t) for (y, _, _), t in zip(data[::5], texts[::5], strict=True)]
     return LanguageModel(langs, np.column_stack([logits, typical]), bias, t, _reject_below(_softmax(z / t), y), _typical_from(typical, aside, rng))
 
 
 def _typical(fit: list[tuple], n: int) -> np.ndarray:
-    """Log share of each bucket in the texts of ``n`` languages, each language with the same weight."""
-    share, texts = np.zeros((n, 1 << BITS)), np.zeros(n)
+    """Log share of each bucket in the texts of each of ``n`` languages."""
+    share, texts = np.zeros((1 << BITS, n)), np.zeros(n)
     for y, u, part in fit:
-        share[y, u] += part
+        share[u, y] += part
         texts[y] += 1
-    mean = (share[texts > 0] / texts[texts > 0, None]).sum(axis=0) / max(1, (texts > 0).sum())
-    return np.log(mean * (1 << BITS) + UNSEEN).astype(np.float32)
-
+    return np.log(share / np.maximum(texts, 1) * (1 << BITS) + UNSEEN).astype(np.float32)
 
-def _typical_from(typical: np.ndarray, texts: list[str], rng: np.random.Generator) -> float:
-    """Halfway between the clean texts set aside and random words of the same letters and of any others; where they overlap, what the clean ones allow."""
 
-    def means(some: list[str]) -> np.ndarray:
-        idx = (grams(word_codes(t), SIZES, BITS) for t in some)
-        return np.array([typical[i].mean(dtype=float) for i in idx if len(i)])
-
-    clean = means([t[:n] for t in texts for n in {*CUTS, len(t)} if n <= len(t)])
-    if not len(clean):
-        return 0.0
-    own = [c for c in sorted(set("".join(texts).lower())) if c.isalpha()]
+def _typical_from(typical: np.ndarray, texts: list[tuple[int, str]], rng: np.random.Generator) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """The cut-off for each of CUTS: halfway between what must stay and what must go; where they overlap, what the former allow."""
+    own = [c for c in sorted({c for _, t in texts for c in t.lower()}) if c.isalpha()] or ["a"]
     every = [chr(c) for c in np.flatnonzero(letters())]
 
     def word(of: list[str]) -> str:
         return "".join(of[i] for i in rng.integers(0, len(of), rng.integers(2, 11)))
 
-    random = []
-    for k in range(RANDOM_TEXTS):
-        n = CUTS[k % len(CUTS)]
-        random.append(" ".join(word(every if k % 2 else own) for _ in range(n // 3 + 1))[:n])
-    least, most = float(np.quantile(clean, FALSE_REJECTION, method="lower")), float(np.quantile(means(random), 1 - FALSE_REJECTION))
-    return min(least, (least + most) / 2)
+    sizes, cuts = [], []
+    for n in CUTS:
+        stay, go, subwords = [], [], []
+        for y, t in texts:
+            idx = grams(word_codes(t[:n]), SIZES, BITS)
+            if len(t) >= n and len(idx):
+                means = typical[idx].mean(axis=0, dtype=float)
+                stay.append(means[y])
+                go += list(np.delete(means, y))
+                subwords.append(len(idx))
+        if not stay:
+            continue
+        for k in range(RANDOM_TEXTS // len(CUTS)):
+            idx = grams(word_codes(" ".join(word(every if k % 2 else own) for _ in range(n // 3 + 1))[:n]), SIZES, BITS)
+            if len(idx):
+                go.append(typical[idx].mean(axis=0, dtype=float).max())
+        least, most = float(np.quantile(stay, FALSE_REJECTION, method="lower")), float(np.quantile(go, 1 - FALSE_REJECTION))
+        sizes.append(float(np.log(np.median(subwords))))
+        cuts.append(min(least, (least + most) / 2))
+    return (tuple(sizes), tuple(cuts)) if sizes else ((0.0,), (0.0,))
 
 
 def _reject_below(p: np.ndarray, y: np.ndarray) -> float:
@@ -174,7 +221,13 @@ def _reject_below(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and accepted; columns of these names are replaced, all rows stay."""
+    """``docs`` with lang_pred, score and accepted; columns of these names are replaced, all rows stay.
+
+    Null, empty and letterless texts get ``und``, score 0 and are not accepted.
+    Texts of any length are read whole, block after block. Ids are not read, so
+    null and repeated ones are harmless; of equal scores the language that comes
+    first by name is taken. An empty table gives an empty one.
+    """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
     at = keep.index(text_col)

@@ -373,9 +373,10 @@ def entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 
 def _collisions(table: DataFrame) -> DataFrame:
-    """Rows of ``table`` whose surrogate another entity has, or is itself an entity. The smallest entity keeps a shared surrogate."""
+    """Rows of ``table`` whose surrogate another entity has, is itself an entity, or would read as a title. The smallest entity keeps a shared surrogate."""
     uses = table.select("kind", F.col("surrogate").alias("value"), F.col("entity").alias("of")).unionByName(table.select("kind", F.col("entity").alias("value"), F.lit(None).cast("string").alias("of")))
-    grouped = uses.groupBy("kind", "value").agg(F.min("of").alias("first"), F.count("of").alias("n"), F.count(F.when(F.col("of").isNull(), 1)).alias("real"))
+    title = (F.col("kind") == "surname") & F.col("value").isin(*sorted(t.lower() for t in _TITLES))
+    grouped = uses.groupBy("kind", "value").agg(F.min("of").alias("first"), F.count("of").alias("n"), F.count(F.when(F.col("of").isNull() | title, 1)).alias("real"))
     bad = grouped.where((F.col("n") > 1) | (F.col("n") > 0) & (F.col("real") > 0)).select("kind", F.col("value").alias("surrogate"), "first", "real")
     return table.join(bad, ["kind", "surrogate"]).where((F.col("real") > 0) | (F.col("entity") != F.col("first"))).select("kind", "entity", "surrogate", "attempt")
 

@@ -50,7 +50,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(langid.training_rows(docs))
     out = langid.identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op5_block_matrix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(save(toxicity.sample(docs, table(spark, sf_dir, "labels")), "toxicity-sample"))
-    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
