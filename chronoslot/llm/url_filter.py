@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
 from .ngrams import codes, grams
 
 BITS = 18
@@ -19,6 +20,11 @@ SIZES = (3, 4, 5)
 MAX_LABELLED = 5_000
 BLOCK_FROM = 0.5
 
+# fixed values: words that hosts and paths of unwanted and of ordinary pages are made of
+UNWANTED = "casino poker slots jackpot roulette bets betting bonus pills pharmacy viagra cialis diet porn xxx adult escorts cams loans payday debt replica rolex ads adserver banner track tracker popup clicks spam linkfarm farm warez crack keygen torrent lottery win cheap free".split()
+ORDINARY = "news times daily journal library museum university school science physics history garden kitchen recipes travel hotel music film books archive docs manual forum wiki city council health clinic weather sports football energy bank market shop photo art design software code community church family blog".split()
+ENDINGS = ("com", "net", "org", "info")
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -96,31 +102,57 @@ def train(rows: list[tuple[str, str, int]], epochs: int = 8, rate: float = 0.5,
     return UrlModel(w.astype(np.float32), float(bias))
 
 
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The small labelled table, url and block (1 or 0): hosts and paths put together from UNWANTED and ORDINARY by rule.
+
+    Every word takes part as a host of its own, beside a word of its list, and as a folder.
+    Numbers, pages and queries stand under both labels alike.
+    """
+    rows = []
+    for block, words in ((1, UNWANTED), (0, ORDINARY)):
+        for i, w in enumerate(words):
+            for k in range(8):
+                other, end = words[(i + 5 * k + 1) % len(words)], ENDINGS[(i + k) % len(ENDINGS)]
+                host = (f"{w}.{end}", f"www.{w}-{other}.{end}", f"{other}{w}.{end}", f"m.{w}.{end}")[k % 4]
+                path = ("", "/", f"/{w}/{i * 37 + k}", f"/en/{other}/index.html", f"/{k}/{w}.html?page=2")[(i + k) % 5]
+                rows.append((f"http://{host}{path}", block))
+    return spark.createDataFrame(rows, "url string, block int")
+
+
 def labelled_sample(labelled: DataFrame, url_col: str = "url", label_col: str = "block") -> list[tuple[str, str, int]]:
-    """(host, path, label) of at most MAX_LABELLED distinct labelled URLs."""
-    rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(url_col).agg(F.max(label_col).cast("int").alias("_y"))
-    cut = rows.orderBy(F.xxhash64(F.col(url_col)), url_col).limit(MAX_LABELLED).select(host_of(F.col(url_col)), path_of(F.col(url_col)), "_y")
-    return [tuple(r) for r in cut.collect()]
+    """(host, path, label) of at most MAX_LABELLED distinct labelled URLs, drawn by a hash of the URL before anything is grouped.
+
+    Null URLs and labels are left out; of one URL's labels the largest counts.
+    """
+    rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(url_col).alias("url"), F.col(label_col).cast("int").alias("label"))
+    n = rows.count()
+    share = F.pmod(F.xxhash64("url", F.lit("labelled")), F.lit(1 << 40))
+    near = rows.where(share.cast("double") * F.lit(float(n)) < F.lit(2.0 * MAX_LABELLED * (1 << 40))) if n > 4 * MAX_LABELLED else rows
+    cut = near.groupBy("url").agg(F.max("label").alias("label")).orderBy(share, "url").limit(MAX_LABELLED)
+    return [tuple(r) for r in cut.select(host_of(F.col("url")), path_of(F.col("url")), "label").collect()]
 
 
 def judge(pages: DataFrame, rules: list[Rule], model: UrlModel, url_col: str = "url") -> DataFrame:
-    """``pages`` with host, path, rule, verdict (``allow`` | ``block``) and block_score double.
+    """``pages`` with host, path, rule, verdict (``allow`` | ``block``) and block_score double, null where a rule decides.
 
     A null URL or one without ``://`` has an empty host and path and is judged by
-    the model. Columns of the new names are replaced; every row stays.
+    the model. Of rules that fit equally long, ``block`` wins. Columns of the new
+    names are replaced; every row stays, and an empty table gives an empty one.
     """
     new = ("host", "path", "rule", "verdict", "block_score")
     keep = [c for c in pages.columns if c not in new]
+    by_rule = fresh(pages.columns, "_rule")
     rows = pages.select(*keep, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    rows = rows.withColumn("_rule", matched(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumn(by_rule, matched(F.col("host"), F.col("path"), rules))
     schema = T.StructType([*rows.schema.fields, T.StructField("block_score", T.DoubleType())])
-    host_at, path_at = rows.columns.index("host"), rows.columns.index("path")
+    host_at, path_at, rule_at = (rows.columns.index(c) for c in ("host", "path", by_rule))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [model.block_score(h, p) for h, p in zip(b.column(host_at).to_pylist(), b.column(path_at).to_pylist(), strict=True)]
+            decided = b.column(rule_at).is_valid().to_pylist()
+            s = [None if d else model.block_score(h, p) for d, h, p in zip(decided, b.column(host_at).to_pylist(), b.column(path_at).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=schema.names)
 
     by_model = F.when(F.col("block_score") >= BLOCK_FROM, "block").otherwise("allow")
     out = rows.mapInArrow(run, schema)
-    return out.select(*keep, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), by_model).alias("verdict"), "block_score")
+    return out.select(*keep, "host", "path", F.col(by_rule)["rule"].alias("rule"), F.coalesce(F.col(by_rule)["verdict"], by_model).alias("verdict"), "block_score")
