@@ -5,8 +5,9 @@
    bins of one content are one class with a multiplicity, so its work depends on
    the sequence length and not on the number of documents.
 3. Each piece gets its rank within its length and takes the slot the plan has
-   for that rank. Ranks are two-level (bucket, then within the bucket), so that
-   a frequent length is numbered by many tasks.
+   for that rank. Ranks are two-level (bucket, then within the bucket), and a
+   length has a bucket for each RANKED of its pieces, so that a frequent length
+   is numbered by many tasks. Pieces that fill a sequence need neither rank nor plan.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import BulkEncoder
-from .common import save
+from .common import fresh, save
 
-#: Buckets of the two-level rank.
-RANK_BUCKETS = 64
+#: Pieces that one bucket of a length ranks, about.
+RANKED = 50_000
 
 
 @dataclass
@@ -106,8 +107,10 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenized pieces: id_col, piece, start, length, ids_crc32, and ids (unsigned 32-bit little-endian bytes) if asked.
 
-    Null text counts as empty: one piece of the end id alone. Repeated ids stay
-    separate rows with their own ``row`` number; other columns are ignored.
+    Null text counts as empty: one piece of the end id alone. Rows that repeat an
+    id, or have none, are cut each for itself and cannot be told apart afterwards.
+    Texts of any length are tokenized whole; an empty table gives no pieces;
+    other columns are ignored.
     """
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     fields += [T.StructField("ids", T.BinaryType())] if with_ids else []
@@ -130,40 +133,39 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
 
 
-def pack(parts: DataFrame, capacity: int = 1024, id_col: str = "doc_id", rank_buckets: int = RANK_BUCKETS) -> DataFrame:
-    """Append sequence_id and offset to the table of pieces.
+def pack(parts: DataFrame, capacity: int = 1024, id_col: str = "doc_id", ranked: int = RANKED) -> DataFrame:
+    """Append sequence_id and offset to the table of pieces; columns of these names are replaced.
 
-    ``parts`` is read twice, so pass a written table. The plan has at most some
-    thousands of rows whatever the input (lengths are at most ``capacity``), so
-    it is broadcast. An empty table gives an empty table.
+    ``parts`` is read three times, so pass a written table. The plan has at most
+    some thousands of rows whatever the input (lengths are at most ``capacity``),
+    and the table of first ranks one for each ``ranked`` pieces; both are
+    broadcast. Equal pieces (of repeated rows) take different slots, in any
+    order. An empty table gives an empty table.
     """
     spark = parts.sparkSession
-    bucket = F.pmod(F.xxhash64(F.col(id_col), F.col("piece")), F.lit(rank_buckets)).cast("int")
-    parts = parts.withColumn("_bucket", bucket)
-    counts = parts.groupBy("length", "_bucket").agg(F.count("*").alias("n")).collect()  # at most capacity * rank_buckets rows
-    by_length: dict[int, dict[int, int]] = {}
-    for r in counts:
-        by_length.setdefault(r["length"], {})[r["_bucket"]] = r["n"]
-    firsts = []
-    for n, buckets in by_length.items():
-        at = 0
-        for k in sorted(buckets):
-            firsts.append((n, k, at))
-            at += buckets[k]
-    slots = plan({n: sum(b.values()) for n, b in by_length.items()}, capacity)
-    first_schema = "length long, _bucket int, _before long"
-    slot_schema = "_length long, _first long, _last long, _per long, _bin long, _at long"
-    first_df = spark.createDataFrame(firsts, first_schema)
-    slot_df = spark.createDataFrame([(s["length"], s["first_rank"], s["first_rank"] + s["bins"] * s["per_bin"] - 1, s["per_bin"], s["first_bin"], s["offset"]) for s in slots], slot_schema)
-    w = Window.partitionBy("length", "_bucket").orderBy(id_col, "piece")
-    ranked = parts.withColumn("_n", F.row_number().over(w) - 1).join(F.broadcast(first_df), ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_n"))
-    k = F.col("_rank") - F.col("_first")
-    placed = ranked.join(F.broadcast(slot_df), (F.col("length") == F.col("_length")) & F.col("_rank").between(F.col("_first"), F.col("_last")))
-    return placed.select(
-        *[c for c in parts.columns if c != "_bucket"],
-        (F.col("_bin") + F.floor(k / F.col("_per"))).cast("long").alias("sequence_id"),
-        (F.col("_at") + F.pmod(k, F.col("_per")) * F.col("length")).cast("long").alias("offset"),
-    )
+    parts = parts.select(*[c for c in parts.columns if c not in ("sequence_id", "offset")])
+    planned = parts.where(F.col("length") < capacity)
+    totals = {r["length"]: r["n"] for r in planned.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    names = {c: fresh(parts.columns, c) for c in ("_bucket", "_before", "_rank", "_length", "_first", "_last", "_per", "_bin", "_at")}
+    c = lambda name: F.col(names[name])
+    per_length = F.array(*[F.lit(max(1, -(-totals.get(n, 0) // ranked))).cast("long") for n in range(capacity)])
+    planned = planned.withColumn(names["_bucket"], F.pmod(F.xxhash64(F.col(id_col), F.col("piece")), per_length[F.col("length").cast("int")]))
+    counts = planned.groupBy("length", names["_bucket"]).agg(F.count("*").alias("n")).collect()
+    firsts, at = [], dict.fromkeys(totals, 0)
+    for r in sorted(counts, key=lambda r: (r[0], r[1])):
+        firsts.append((r[0], r[1], at[r[0]]))
+        at[r[0]] += r[2]
+    slots = plan(totals, capacity)
+    first_df = spark.createDataFrame(firsts, f"length long, {names['_bucket']} long, {names['_before']} long")
+    slot_df = spark.createDataFrame([(s["length"], s["first_rank"], s["first_rank"] + s["bins"] * s["per_bin"] - 1, s["per_bin"], s["first_bin"], s["offset"]) for s in slots], ", ".join(f"{names[x]} long" for x in ("_length", "_first", "_last", "_per", "_bin", "_at")))
+    w = Window.partitionBy("length", names["_bucket"]).orderBy(id_col, "piece")
+    numbered = planned.withColumn(names["_rank"], F.row_number().over(w) - 1).join(F.broadcast(first_df), ["length", names["_bucket"]]).withColumn(names["_rank"], c("_before") + c("_rank"))
+    k = c("_rank") - c("_first")
+    placed = numbered.join(F.broadcast(slot_df), (F.col("length") == c("_length")) & c("_rank").between(c("_first"), c("_last")))
+    placed = placed.select(*parts.columns, (c("_bin") + F.floor(k / c("_per"))).cast("long").alias("sequence_id"), (c("_at") + F.pmod(k, c("_per")) * F.col("length")).cast("long").alias("offset"))
+    # planned sequences count from 0 upwards, full pieces from -1 downwards
+    full = parts.where(F.col("length") == capacity).select(*parts.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
