@@ -25,14 +25,14 @@ HELD_QUERIES = 64 * QUERY_BLOCK
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 values (as float32), scale, norm of the int8 vector times scale, norm of what rounding lost."""
+    """int8 values, scale, norm of the int8 vector times scale, norm of what rounding lost."""
     x = x.astype(np.float64)
     scale = np.abs(x).max(axis=1) / 127
     scale[scale == 0] = 1
     q = np.rint(x / scale[:, None])
     lost = x - q * scale[:, None]
     slack = 1 + 1e-9  # the norms are rounded too
-    return q.astype(np.float32), scale, np.linalg.norm(q * scale[:, None], axis=1) * slack, np.linalg.norm(lost, axis=1) * slack + 1e-300
+    return q.astype(np.int8), scale, np.linalg.norm(q * scale[:, None], axis=1) * slack, np.linalg.norm(lost, axis=1) * slack + 1e-300
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -64,10 +64,12 @@ def tile(heaps: Heaps, q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: n
     k = heaps.k
     qi, qs, qn, ql = quantise(q)
     ci, cs, cn, cl = quantise(c)
+    # sums of int8 products of up to 1000 components are exact in float32, which has a fast product
+    as_float = np.float32 if q.shape[1] <= 1000 else np.float64
+    qi, ci = qi.astype(as_float), ci.astype(as_float)
     for at in range(0, len(q_ids), 256):
         rows = slice(at, at + 256)
-        # sums of int8 products of up to 1000 components are exact in float32
-        near = (qi[rows] @ ci.T if q.shape[1] <= 1000 else qi[rows].astype(np.float64) @ ci.T).astype(np.float64)
+        near = (qi[rows] @ ci.T).astype(np.float64)
         near *= qs[rows, None]
         near *= cs
         err = qn[rows, None] * cl + ql[rows, None] * (cn + cl)
@@ -83,13 +85,14 @@ def tile(heaps: Heaps, q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: n
 
 
 def clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """_id, _v (array<double>), _d of vectors that take part: not null, not zero, all components finite.
+    """_id, _v (array of floats or doubles, as stored), _d of vectors that take part: not null, not zero, all components finite.
 
     Rows without an id take no part. Rows that repeat an id count once, with the smallest vector.
     """
+    stored = vectors.schema[vec_col].dataType.simpleString()
     v = F.col(vec_col)
     usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & usable).select(F.col(id_col).cast("long").alias("_id"), v.cast("array<double>").alias("_v"))
+    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & usable).select(F.col(id_col).cast("long").alias("_id"), (v if stored == "array<float>" else v.cast("array<double>")).alias("_v"))
     return rows.groupBy("_id").agg(F.min("_v").alias("_v")).withColumn("_d", F.size("_v"))
 
 
@@ -104,7 +107,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     """query_id, rank (from 1), vec_id, score: the ``k`` largest inner products of each query; fewer if there are fewer.
 
     Vectors meet only vectors of as many components. Ties go to the smaller id.
-    Empty tables give no rows; other columns are ignored.
+    Empty tables give no rows; other columns are ignored. The session's Arrow
+    batches should be bounded by bytes (``common.tune``): a row holds two blocks.
     """
     cands, asks = clean(vectors, id_col, vec_col), clean(queries, id_col, vec_col)
     n_c = max(1, -(-cands.count() // CANDIDATE_BLOCK))
@@ -136,8 +140,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                     yield flush()
         yield flush()
 
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row holds two blocks
     best = tiles.select("_q_rows", "_c_rows").mapInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
