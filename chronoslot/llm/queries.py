@@ -27,12 +27,10 @@ def tokenizer(name: str) -> str:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled table: a bounded sample of the URLs that a rule decides, with its verdict."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    decided = url_filter.matched(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), URL_RULES)
-    labelled = pages.select("url", (decided["verdict"] == "block").cast("int").alias("block"))
-    model = url_filter.train(url_filter.labelled_sample(labelled))
-    return url_filter.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "block_score")
+    """The rules first; the rest by a model of the small labelled table that comes with the filter."""
+    tune(spark)
+    model = url_filter.train(url_filter.labelled_sample(url_filter.labelled_urls(spark)))
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +52,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_block_matrix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
@@ -132,7 +131,7 @@ ORACLE_SQL = {
         marked AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS t FROM lines),
         totals AS (SELECT coalesce(source, '') AS host, count(*) AS host_pages FROM documents GROUP BY 1),
         pages AS (SELECT host, t, count(DISTINCT doc_id) AS pages FROM marked WHERE t <> '' GROUP BY host, t),
-        drops AS (SELECT p.host, p.t FROM pages p JOIN totals USING (host) WHERE p.pages >= 10 AND p.pages > 0.1 * host_pages),
+        drops AS (SELECT p.host, p.t FROM pages p JOIN totals USING (host) WHERE p.pages > 0.1 * host_pages),
         judged AS (SELECT m.*, d.t IS NOT NULL AS dropped FROM marked m LEFT JOIN drops d ON m.host = d.host AND m.t = d.t),
         docs AS (
             SELECT doc_id, sum(dropped::INT) AS n, count(*) FILTER (NOT dropped AND t <> '') AS rest, string_agg(line, chr(10) ORDER BY k) FILTER (NOT dropped) AS kept
