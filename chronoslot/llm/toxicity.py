@@ -26,8 +26,6 @@ from .common import held_out
 #: Labels are learned from at most so many rows of each class, drawn by a hash of the id.
 SAMPLE_TOXIC = 6_000
 SAMPLE_CLEAN = 18_000
-#: Most terms that a lexicon has.
-MAX_TERMS = 2_000
 #: A term must be in so many toxic texts of the sample, with log-odds of so much at least.
 MIN_TEXTS = 5
 MIN_LOG_ODDS = 3.0
@@ -39,8 +37,9 @@ FUZZY_LENGTH = 5
 #: Words before and after a hit that are its context.
 WINDOW = 8
 THRESHOLD = 0.3
-#: A worker keeps at most so many words it has judged.
+#: A worker keeps at most so many words it has judged, and moves between states of the automaton.
 CACHE_WORDS = 500_000
+CACHE_MOVES = 500_000
 
 WORDS = re.compile(r"\w+|[\"“”«»„]")
 QUOTES = frozenset("\"“”«»„")
@@ -134,6 +133,8 @@ class Lexicon:
         """(term number, ``exact`` | ``fuzzy`` | ``stem``) of a lower-case word, or None."""
         if word in self._words:
             return self._words[word]
+        if len(self._moves) >= CACHE_MOVES:
+            self.__init__(self.terms)
         if not self._trie:
             self._build()
         state, stem, out = 0, None, None
@@ -201,7 +202,11 @@ class ToxicityModel:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(toxic, text) of at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows that are not held out."""
+    """(toxic, text) of at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows that are not held out.
+
+    Rows without a label or an id are not drawn. Of several labels of one id the
+    largest counts; documents that repeat an id all come in. Texts stay whole.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("_toxic"))
     share = F.pmod(F.xxhash64(F.col(id_col), F.lit("toxicity sample")), F.lit(1 << 40))
     drawn = [known.where(cond).select(id_col, "_toxic", share.alias("_share")).orderBy("_share", id_col).limit(n).select(id_col, "_toxic") for cond, n in ((F.col("_toxic") == 1, SAMPLE_TOXIC), (F.col("_toxic") != 1, SAMPLE_CLEAN))]
@@ -222,7 +227,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     for k in STEM_LENGTHS:
         part = per_word.where(F.length("word") > k).groupBy(F.substring("word", 1, k).alias("word")).agg(F.sum("c1").alias("c1"), F.sum("n").alias("n"), F.count(F.when(F.col("c1") > 0, 1)).alias("words")).withColumn("odds", odds).where(good & (F.col("words") >= STEM_WORDS)).select("word", F.lit(True).alias("stem"), "odds", "c1")
         stems = part if stems is None else stems.unionByName(part)
-    found = exact.unionByName(stems).orderBy(F.desc("c1"), "word", "stem").limit(2 * MAX_TERMS).collect()
+    found = exact.unionByName(stems).orderBy(F.desc("c1"), "word", "stem").collect()  # of a bounded sample, each in MIN_TEXTS of its texts
     # a stem that only repeats one word's count adds nothing to it, and must not stand in for that word
     whole = {r["word"]: r["c1"] for r in found if not r["stem"]}
     found = [r for r in found if not r["stem"] or r["c1"] > 1.5 * max((c for w, c in whole.items() if w.startswith(r["word"])), default=0)]
@@ -231,11 +236,14 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         if not any(r["word"].startswith(s) for s in kept_stems):
             kept_stems.append(r["word"])
     kept = [r for r in found if (r["word"] in kept_stems if r["stem"] else not any(r["word"].startswith(s) for s in kept_stems) or r["c1"] >= 50)]
-    return Lexicon([(r["word"], bool(r["stem"]), float(r["odds"])) for r in kept[:MAX_TERMS]])
+    return Lexicon([(r["word"], bool(r["stem"]), float(r["odds"])) for r in kept])
 
 
 def fit(rows: DataFrame, rounds: int = 3000, rate: float = 0.3, ridge: float = 1e-4) -> ToxicityModel:
-    """Learn lexicon and regression from a sample (toxic int, text). No rows or one class: a constant score."""
+    """Learn lexicon and regression from a sample (toxic int, text). No rows or one class: a constant score.
+
+    Null and empty texts count as texts without hits, repeated rows as often as they come.
+    """
     lexicon = learn_lexicon(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +271,9 @@ def fit(rows: DataFrame, rounds: int = 3000, rate: float = 0.3, ridge: float = 1
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score double and predicted int; columns of these names are replaced, all rows stay.
 
-    Null and empty texts score as texts without hits. Texts are read whole.
+    Null and empty texts score as texts without hits. Texts of any length are
+    read whole. Ids are not read, so null and repeated ones are harmless. An empty
+    table gives an empty one.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -32,17 +32,57 @@ EDGE = [None, "", "   ", "one", "\n\n", "x" * 200_000, "é漢😀 \x1c\x85 a", "
 
 
 # --- URL filter ---
+RULES = [url_filter.rule(t, v) for t, v in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
+
+
+def split_url(url):
+    """Host and path in plain Python."""
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    end = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host, rest = rest[:end], rest[end:]
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), rest[: min([rest.index(c) for c in "?#" if c in rest], default=len(rest))]
+
+
+def ruled(host, path):
+    fits = [(len(r.text), r.text, r.verdict) for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return max(fits)[1:] if fits else (None, None)
+
+
 def test_url_rules_and_model(spark):
-    urls = ["http://A.Example.ORG/es/1?x", "https://m.example.org/en/19", "http://example.org", None, "no scheme", "http://x.com/fr/", "http://xcom/fr/", "http://notexample.org/es/", "a://b://c/d"]
-    rules = [url_filter.rule("org/", "allow"), url_filter.rule("example.org/es/", "block"), url_filter.rule("example.org/en/1", "block"), url_filter.rule("com/fr/", "allow")]
+    urls = ["http://A.Example.ORG/es/1?x", "https://m.example.org/en/19", "http://example.org", None, "no scheme", "http://x.com/fr/", "http://xcom/fr/", "http://notexample.org/es/", "a://b://c/d", "http://ÀÉ.org/es/", "http://x.org\n/en/1", "://", "http://" + "y" * 100_000 + ".com/de/"]
+    rnd = random.Random(6)
+    urls += ["".join(rnd.choice(["http", "://", "/", "?", "#", "example", ".org", ".com", "EN", "en/1", "es/", "de/", "fr/", ".", "x"]) for _ in range(rnd.randint(0, 9))) for _ in range(600)]
     model = url_filter.train([("good.net", "/a/b", 0), ("bad.net", "/spam/x", 1)] * 20)
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
-    rows = {r["page_id"]: r for r in url_filter.judge(df, rules, model).collect()}
-    assert [rows[i]["rule"] for i in range(9)] == ["example.org/es/", "example.org/en/1", None, None, None, "com/fr/", None, "org/", None]
-    assert (rows[0]["host"], rows[0]["path"], rows[0]["verdict"]) == ("a.example.org", "/es/1", "block")
-    assert (rows[2]["host"], rows[2]["path"]) == ("example.org", "") and (rows[3]["host"], rows[4]["path"]) == ("", "") and rows[8]["host"] == "b:"
+    df = spark.createDataFrame([*enumerate(urls), (None, "http://x.com/de/"), (0, urls[0])], "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("_rule", F.lit("clash"))
+    out = url_filter.judge(df, RULES, model).collect()
+    assert len(out) == len(urls) + 2 and {r["_rule"] for r in out} == {"clash"}
+    for r in out:
+        host, path = split_url(r["url"])
+        rule, verdict = ruled(host, path)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule), r["url"]
+        score = r["block_score"]
+        assert verdict == r["verdict"] and score is None if verdict else abs(score - model.block_score(host, path)) < 1e-12 and r["verdict"] == ("block" if score >= 0.5 else "allow")
     assert model.block_score("bad.net", "/spam/x") > 0.5 > model.block_score("good.net", "/a/b")
-    assert url_filter.judge(df.limit(0), rules, url_filter.train([])).isEmpty()
+    assert url_filter.judge(df.limit(0), RULES, url_filter.train([])).isEmpty()
+
+
+def test_url_model_on_words_left_out(spark, monkeypatch):
+    """Every fifth URL is left out of the fit; of the table's own hosts, those of no listed word are allowed."""
+    rows = url_filter.labelled_sample(url_filter.labelled_urls(spark))
+    held = [r for i, r in enumerate(rows) if i % 5 == 0]
+    model = url_filter.train([r for i, r in enumerate(rows) if i % 5])
+    right = sum((model.block_score(h, p) >= 0.5) == bool(y) for h, p, y in held)
+    print("URL model, left out:", right, "of", len(held))
+    assert right >= 0.95 * len(held)
+    for host in ("ththan.example.net", "www.tionble.example.com", "blog.ther.example.org", "", "en.wikipedia.example"):
+        assert model.block_score(host, "/en/12") < 0.5
+    for host in ("www.casino-royal.example.net", "cheap-pills.example.com", "freebets.example.org", "adserver.example.com"):
+        assert model.block_score(host, "/de/7.html") >= 0.5
+    monkeypatch.setattr(url_filter, "MAX_LABELLED", 50)
+    drawn = url_filter.labelled_sample(url_filter.labelled_urls(spark))
+    assert len(drawn) == 50 and drawn == url_filter.labelled_sample(url_filter.labelled_urls(spark).repartition(3))
 
 
 # --- PII ---
@@ -160,7 +200,7 @@ def test_plan_places_every_piece_once():
         packing.plan({9: 1}, 8)
 
 
-def test_pack_documents(spark):
+def test_pack_documents(spark, monkeypatch):
     rnd = random.Random(1)
     texts = [*EDGE[:5], *EDGE[6:], words(rnd, 900), words(rnd, 30)]
     path = P.path("byte_bpe_50k.json")
@@ -185,6 +225,13 @@ def test_pack_documents(spark):
             at += n
         assert at <= 64
     assert packing.pack_documents(table(spark, ["a"]).limit(0), path).isEmpty()
+    # ranks in many buckets, repeated rows, names that clash
+    monkeypatch.setattr(packing, "RANKED", 2)
+    parts = packing.pieces(table(spark, ["a b c"] * 9 + ["a", None, "b " * 40], copies=2), path, 64).withColumn("_rank", F.lit("clash")).withColumn("offset", F.lit("clash"))
+    rows = packing.pack(parts, 64, ranked=2).collect()
+    assert len(rows) == parts.count() and {r["_rank"] for r in rows} == {"clash"}
+    used = collections.Counter(x for r in rows for x in ((r["sequence_id"], r["offset"] + k) for k in range(r["length"])))
+    assert max(used.values()) == 1 and len(used) == sum(r["length"] for r in rows) and len({r["sequence_id"] for r in rows}) <= 7
     assert packing.pack_documents(table(spark, ["a b"], copies=3), path).count() == 3
 
 
@@ -288,6 +335,8 @@ def test_neighbours_are_exact(spark, monkeypatch):
     for r in ann.search(df, df.where("vec_id % 20 = 0"), 7).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     assert got == brute(vectors, [i for i in vectors if i % 20 == 0], 7)
+    twice = ann.search(df.unionByName(df), df.where("vec_id % 20 = 0").unionByName(df), 7)
+    assert twice.where("query_id = vec_id").isEmpty() and twice.where("query_id % 20 = 0").count() == 7 * 15
     few = df.where("vec_id < 3")
     assert ann.search(few, few.where("vec_id = 0"), 7).count() == 2
     assert ann.search(df.limit(0), df.limit(0)).isEmpty()
@@ -314,6 +363,16 @@ def test_stream_dedup(spark, tmp_path):
     assert stream_dedup.dedup(spark, str(tmp_path / "e")).isEmpty()
 
 
+def test_bytes_are_checked_through_the_locator(spark, tmp_path, monkeypatch):
+    """A digest of the first letter alone: texts that share it are told apart by their bytes, hot digests in parts too."""
+    monkeypatch.setattr(stream_dedup, "HOT_GROUP", 3)
+    monkeypatch.setattr(stream_dedup.F, "sha2", lambda c, n: F.substring(c, 1, 1))
+    texts = ["abc", "abd", "abc", "a", "b", "b", None, "abd", "c1"] + ["dd"] * 10
+    table(spark, texts).withColumn("keep", F.lit(1)).withColumn("words", F.lit(2)).write.parquet(str(tmp_path / "d"))
+    rows = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in stream_dedup.dedup(spark, str(tmp_path / "d")).collect())
+    assert rows == [(i, texts.index(t), texts.count(t), texts.index(t) == i) for i, t in enumerate(texts)]
+
+
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     at = lambda x: str(tmp_path / x)
     table(spark, ["a", "b"], start=5).write.parquet(at("d"))
@@ -493,7 +552,7 @@ def test_automaton_equals_edit_distance():
         assert (got and got[1]) == want, w
 
 
-def test_toxicity(spark):
+def test_toxicity(spark, monkeypatch):
     rnd = random.Random(2)
     clean = [words(rnd, 30) for _ in range(200)]
     toxic = [words(rnd, 20) + " you foulword " + words(rnd, 5) + " nastyterm" for _ in range(60)]
@@ -506,6 +565,14 @@ def test_toxicity(spark):
     out = toxicity.score(table(spark, [toxic[0], None]), m).collect()
     assert [r["predicted"] for r in out] == [1, 0]
     assert toxicity.fit(rows.limit(0)).score("x") < 0.3
+    wild = table(spark, [toxic[0], toxic[0], "x " * 200_000 + toxic[0], ""]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("score", F.lit("clash"))
+    assert sorted(r["score"] for r in toxicity.score(wild, m).collect()) == sorted([m.score(toxic[0])] * 2 + [m.score("x " * 200_000 + toxic[0]), m.score("")])
+    assert toxicity.score(wild.limit(0), m).isEmpty()
+    lex = toxicity.Lexicon(m.lexicon.terms)
+    before = [lex.judge(w) for w in ("foulword", "fuolword", "nastyterrm", "alpha1")]
+    monkeypatch.setattr(toxicity, "CACHE_MOVES", 1)
+    lex._words.clear()
+    assert [lex.judge(w) for w in ("foulword", "fuolword", "nastyterrm", "alpha1")] == before
     quoted = m.lexicon.features('he said "foulword" there')
     assert quoted[toxicity.FEATURES.index("quoted")] > 0 and quoted[toxicity.FEATURES.index("reported")] > 0
 
@@ -513,12 +580,33 @@ def test_toxicity(spark):
 # --- lines ---
 def test_line_dedup(spark):
     texts = [f"Menu\nstory {i}\n  Menu \n" for i in range(30)] + [None, "", "Menu", "Menu\n\n"] + [f"own {i}" for i in range(5)]
-    df = table(spark, texts).withColumn("line_key", F.lit("clash"))
+    df = table(spark, texts)
+    for clash in ("line_key", "_keys", "_host", "_kept", "HOST", "_KEYS_"):
+        df = df.withColumn(clash, F.lit("clash"))
     rows = line_dedup.drop_boilerplate(df, counts=True).orderBy("doc_id").collect()
-    assert rows[3]["text"] == "story 3\n" and rows[3]["lines_dropped"] == 2 and rows[3]["line_key"] == "clash"
+    assert rows[3]["text"] == "story 3\n" and rows[3]["lines_dropped"] == 2 and {r[c] for r in rows for c in ("line_key", "_keys", "_host", "_kept", "HOST", "_KEYS_")} == {"clash"}
     assert [r["text"] for r in rows[30:34]] == [None, "", "Menu", "Menu\n\n"] and rows[36]["text"] == "own 2"
     other = line_dedup.drop_boilerplate(table(spark, [f"Menu\nx {i}" for i in range(9)]))
     assert all(r["text"].startswith("Menu") for r in other.collect())
     assert line_dedup.drop_boilerplate(df.limit(0)).isEmpty()
     null_host = spark.createDataFrame([(i, f"Top\nline {i}", "en", None, 1) for i in range(20)], DOCS)
     assert all(r["text"].startswith("line") for r in line_dedup.drop_boilerplate(null_host).collect())
+
+
+@pytest.mark.parametrize("shipped", [1_000_000, 0])
+def test_line_dedup_equals_plain_python(spark, monkeypatch, shipped):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", shipped)
+    rnd = random.Random(12)
+    pool = ["Home", " Home\t", "About us", "", "  ", "Imprint", "Share", "x" * 50_000]
+    rows = [(i // 2, "\n".join(rnd.choice(pool) if rnd.random() < 0.4 else f"line {rnd.randrange(400)}" for _ in range(rnd.randint(0, 8))), "en", rnd.choice(["big"] * 6 + ["small", None]), 0) for i in range(160)]
+    hosts, pages = collections.Counter(), collections.Counter()
+    for _, t, _, h, _ in rows:
+        hosts[h] += 1
+        pages.update((h, x) for x in {x.strip(" \t\r") for x in t.split("\n")} - {""})
+    want = []
+    for i, t, _, h, _ in rows:
+        lines = t.split("\n")
+        kept = [x for x in lines if not x.strip(" \t\r") or pages[h, x.strip(" \t\r")] <= 0.1 * hosts[h]]
+        want.append((i, "\n".join(kept) if any(x.strip(" \t\r") for x in kept) else t))
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(want)
