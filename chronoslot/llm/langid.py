@@ -132,8 +132,8 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
-def train(rows: list[Example], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> LanguageModel:
-    """Fit on the sample. Every fifth row only calibrates. No rows: a model that rejects everything."""
+def train(rows: list[Example], epochs: int = 6, least_steps: int = 6000, rate: float = 0.5, seed: int = 7) -> LanguageModel:
+    """Fit on the sample, in more epochs where it is small. Every fifth row only calibrates. No rows: a model that rejects everything."""
     rows = [r for r in rows if len(r.buckets)]
     langs = sorted({r.lang for r in rows})
     if not langs:
@@ -143,6 +143,7 @@ def train(rows: list[Example], epochs: int = 6, rate: float = 0.5, seed: int = 7
     weights, bias = np.zeros((DIM, len(langs))), np.zeros(len(langs))
     data, texts = [(langs.index(r.lang), r.buckets, r.share) for r in rows], [r.window for r in rows]
     held, fit = data[::5], [d for i, d in enumerate(data) if i % 5] or data
+    epochs = max(epochs, -(-least_steps // len(fit)))
     steps, done = epochs * len(fit), 0
     for _ in range(epochs):
         for j in rng.permutation(len(fit)):
@@ -201,7 +202,9 @@ def _typical_from(typical: np.ndarray, texts: list[tuple[int, str]], rng: np.ran
             idx = grams(word_codes(" ".join(word(every if k % 2 else own) for _ in range(n // 3 + 1))[:n]), SIZES, BITS)
             if len(idx):
                 go.append(typical[idx].mean(axis=0, dtype=float).max())
-        least, most = float(np.quantile(stay, FALSE_REJECTION, method="lower")), float(np.quantile(go, 1 - FALSE_REJECTION))
+        # of few rows, the least one says little; then their spread does
+        least = min(float(np.quantile(stay, FALSE_REJECTION, method="lower")), float(np.mean(stay) - 3.1 * np.std(stay)))
+        most = float(np.quantile(go, 1 - FALSE_REJECTION))
         sizes.append(float(np.log(np.median(subwords))))
         cuts.append(min(least, (least + most) / 2))
     return (tuple(sizes), tuple(cuts)) if sizes else ((0.0,), (0.0,))
