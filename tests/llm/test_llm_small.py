@@ -435,23 +435,31 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, long_list, own, l
     assert got == brute_components(texts)
 
 
-def test_candidates_meet_under_every_order(spark):
-    """Pairs of equal size and close bucket counts go before their sets are fetched, if the prefixes of one order do not meet."""
+def test_candidates_meet_under_every_order():
+    """Pairs of equal size go before their sets are fetched, if the prefixes of one order do not meet; pairs that link never do."""
     rng = np.random.default_rng(3)
-    levels = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
+    levels = rng.integers(0, 3, 1 << jaccard.SKETCH_BITS).astype(np.uint8)
     pool = rng.integers(0, 2**64, 4000, dtype=np.uint64)
-    dropped = 0
+    coded = lambda x: b"".join(jaccard.marks(p).tobytes() for p in jaccard.prefixes(x, levels)[1:])
+    dropped = linked = 0
     for _ in range(300):
-        a, b = (np.unique(rng.choice(pool, 60, replace=False)) for _ in range(2))
-        own = [jaccard.prefixes(x, levels) for x in (a, b)]
-        meet = [len(np.intersect1d(p, q)) > 0 for p, q in zip(*own, strict=True)]
-        coded = [b"".join(jaccard.marks(p).tobytes() for p in x[1:]) for x in own]
-        assert jaccard.orders_meet(*coded) or not all(meet[1:])
-        dropped += not jaccard.orders_meet(*coded)
-        # sets that link meet under every order
-        c = np.unique(np.concatenate([a[: len(a) - 4], b[:4]]))
-        assert not jaccard.links(len(np.intersect1d(a, c)), len(a), len(c)) or all(len(np.intersect1d(p, q)) for p, q in zip(own[0], jaccard.prefixes(c, levels), strict=True))
-    assert dropped > 200
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 90), replace=False)) for _ in range(2))
+        dropped += not jaccard.orders_meet(coded(a), coded(b), len(a), len(b))
+        c = np.unique(np.concatenate([a[: len(a) - rng.integers(0, 1 + len(a) // 5)], b[: rng.integers(0, 1 + len(a) // 5)]]))
+        if jaccard.links(len(np.intersect1d(a, c)), len(a), len(c)):
+            linked += 1
+            assert jaccard.orders_meet(coded(a), coded(c), len(a), len(c))
+    assert dropped > 200 and linked > 50
+
+
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    rnd = random.Random(3)
+    text = " ".join(rnd.choice(["Alpha", "beta", "é漢", "x" * 300, "\x1c", "y" * 70]) + rnd.choice(["", "\t\n", "  "]) for _ in range(500))
+    whole = jaccard.word_hashes(text.encode())
+    seen = text.encode().lower().split()
+    assert len(whole) == len(seen) and len(set(whole.tolist())) == len(set(seen)) and all(len({h for h, w in zip(whole.tolist(), seen) if w == x}) == 1 for x in set(seen))
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 100)
+    assert (jaccard.word_hashes(text.encode()) == whole).all() and len(jaccard.word_hashes(b" \t")) == 0 == len(jaccard.word_hashes(b""))
 
 
 def test_near_duplicates_of_nothing(spark):
