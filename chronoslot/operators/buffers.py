@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..plans.trace import Storage, Trace
 from .state import occupancy_at, properties_at, state_at
 
-#: The entity table of one moment is broadcast below this number of rows.
-BROADCAST_ENTITIES = 1_000_000
-
 
 def entity_fields(trace: Trace, time_ps: int) -> DataFrame:
     """entity_id and the other fields of the entities valid at a time; of slots with one id the last counts."""

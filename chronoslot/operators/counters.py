@@ -80,6 +80,33 @@ def rates(trace: Trace, window: int) -> DataFrame:
     return per.withColumn("rate", F.when(span > 0, F.sum("step").over(w) / span).otherwise(0.0)).select("trace_id", "counter", "cycle", "rate")
 
 
+TOTAL, RATE, DELTA = "total", "rate", "delta"
+
+
+def stored_value_at(mipmap: DataFrame, cycle: int, base: int = 1024) -> DataFrame:
+    """trace_id, counter, value from a stored summary (trace_id, counter, level, bucket, total): buckets before, and the share of the cycle's own."""
+    part = F.when(F.col("bucket") < cycle // base, F.col("total")).when(F.col("bucket") == cycle // base, F.floor(F.col("total") * (cycle % base) / base)).otherwise(0)
+    return mipmap.where("level = 0").groupBy("trace_id", "counter").agg(F.sum(part).cast("long").alias("value"))
+
+
+def best_value_at(trace: Trace, cycle: int, mipmap: DataFrame | None = None, base: int = 1024) -> DataFrame:
+    """counter, value, source: from the samples where a counter has any, else from a stored summary, else 0."""
+    own = value_at(trace, cycle).withColumn("rank", F.lit(0)).withColumn("source", F.lit("samples"))
+    every = trace.ops.sparkSession.createDataFrame([(s.name,) for s in trace.schema.counters], "counter string")
+    if mipmap is not None:
+        own = own.unionByName(stored_value_at(mipmap, cycle, base).withColumn("rank", F.lit(1)).withColumn("source", F.lit("summary")))
+    first = own.groupBy("counter").agg(F.min(F.struct("rank", "source", "value")).alias("v"))
+    return every.join(first, "counter", "left").select("counter", F.coalesce("v.value", F.lit(0)).alias("value"), F.coalesce("v.source", F.lit("none")).alias("source"))
+
+
+def shown(trace: Trace, cycle: int, mode: str = TOTAL, window: int = 1000) -> DataFrame:
+    """counter, mode, value double at a cycle: the total, the rate over the last ``window`` cycles, or the cycle's own change."""
+    if mode not in (TOTAL, RATE, DELTA):
+        raise ValueError(f"no display mode {mode!r}")
+    df = value_at(trace, cycle) if mode == TOTAL else rate_at(trace, cycle, window).withColumnRenamed("rate", "value") if mode == RATE else delta_at(trace, cycle).withColumnRenamed("delta", "value")
+    return df.select("counter", F.lit(mode).alias("mode"), F.col("value").cast("double").alias("value"))
+
+
 def delta_at(trace: Trace, cycle: int) -> DataFrame:
     """v(c) - v(c - 1); at cycle 0 the value itself: what was added in the cycle."""
     return adds(trace).groupBy("trace_id", "counter").agg(F.coalesce(F.sum(F.when(F.col("cycle") == cycle, F.col("delta"))), F.lit(0)).cast("long").alias("delta"))

@@ -6,9 +6,12 @@ by slot and once by entity; no row is joined to a life it might belong to.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.resolve import code_name
 from ..plans.trace import ADD, CLEAR, SET, Trace
 
 RETIRED, FLUSHED, IN_FLIGHT = "Retired", "Flushed", "InFlight"
@@ -70,7 +73,7 @@ def stage_spans(trace: Trace) -> DataFrame:
     # an unknown stage counts as the first
     stage = F.when(F.col("value").between(0, len(trace.stages) - 1), F.col("value").cast("int")).otherwise(0)
     names = F.array(*[F.lit(s) for s in trace.stages]) if trace.stages else F.array(F.lit("stage_0"))
-    return spans.select("trace_id", "entity_id", F.col("birth.seq").alias("birth_seq"), "seq", stage.alias("stage"), names[stage].alias("stage_name"), F.col("cycle").alias("start_cycle"), end.alias("end_cycle"), F.lit(0).alias("lane"), F.greatest(F.lit(0).cast("long"), end - F.col("cycle")).alias("duration"), _status().alias("status"))
+    return spans.select("trace_id", "entity_id", F.col("birth.seq").alias("birth_seq"), F.col("birth.cycle").alias("birth_cycle"), "seq", stage.alias("stage"), names[stage].alias("stage_name"), F.col("cycle").alias("start_cycle"), end.alias("end_cycle"), F.lit(0).alias("lane"), F.greatest(F.lit(0).cast("long"), end - F.col("cycle")).alias("duration"), _status().alias("status"))
 
 
 def _status() -> F.Column:
@@ -154,6 +157,25 @@ def gantt(trace: Trace, start: int, end: int) -> DataFrame:
     return s.withColumn("shown_from", F.greatest("start_cycle", F.lit(start).cast("long"))).withColumn("shown_to", F.least("end_cycle", F.lit(end).cast("long")))
 
 
+def of_segments(trace: Trace, seg_ids: list[int]) -> Trace:
+    """The trace of chosen segments alone, replayed from an empty state: what a viewer opens of a large file."""
+    here = F.col("seg_id").isin([int(i) for i in seg_ids])
+    return replace(trace, ops=trace.ops.where(here), events=trace.events.where(here), checkpoints=None)
+
+
+def gantt_marks(trace: Trace, start: int, end: int) -> DataFrame:
+    """kind, cycle, until, entity_id, other, label of what is drawn over the spans of [start, end): arrow, flush, stall.
+
+    An arrow goes from a producer to its consumer; a stall band lasts until the next stall.
+    """
+    none = F.lit(None).cast("long")
+    reasons = code_name(trace.schema.enum("flush_reason"), F.col("arg"))
+    arrows = dependencies(trace).select(F.lit("arrow").alias("kind"), "cycle", none.alias("until"), F.col("producer").alias("entity_id"), F.col("consumer").alias("other"), "label")
+    flushes = trace.event("flush").select(F.lit("flush").alias("kind"), "cycle", none.alias("until"), "entity_id", none.alias("other"), reasons.alias("label"))
+    bands = stalls(trace).select(F.lit("stall").alias("kind"), "cycle", "until", none.alias("entity_id"), none.alias("other"), code_name(trace.schema.enum("stall_reason"), F.col("reason")).alias("label"))
+    return arrows.unionByName(flushes).unionByName(bands).where((F.col("cycle") < end) & (F.coalesce("until", F.col("cycle") + 1) > start))
+
+
 def in_flight_series(trace: Trace) -> DataFrame:
     """cycle, in_flight after the births and deaths of that cycle. Deaths count at their cycle.
 

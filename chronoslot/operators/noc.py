@@ -56,6 +56,8 @@ def handoff_chains(handoffs: DataFrame, lives: DataFrame) -> DataFrame:
         if at.where("moved").isEmpty():
             break
         at = at.drop("moved")
+    else:
+        raise ValueError("handoffs go round in a circle")
     first = lives.select(F.col("life").alias("head"), F.col("latency").alias("head_latency"))
     full = at.join(first, "head").withColumn("latency", F.col("sum") + F.col("head_latency"))
     ends = full.join(handoffs.select(F.col("src").alias("life")).distinct(), "life", "left_anti")
@@ -125,6 +127,32 @@ def congestion(decisions: DataFrame, bucket: int) -> DataFrame:
     return decisions.groupBy("router", F.expr(f"cycle div {bucket}").alias("bucket")).agg(F.count("*").alias("decisions"), F.avg("contenders").alias("contenders"))
 
 
+def payloads(trace: Trace, event: str) -> DataFrame:
+    """trace_id, seq, cycle and a typed column for each field of an event type (beat, retry, timeout, link_credit, arb_decision)."""
+    from .state import typed
+
+    kind = next((e for e in trace.schema.event_types if e.name == event), None)
+    if kind is None:
+        raise LookupError(f"no event {event!r}")
+    return trace.event(event).select("trace_id", "seq", "cycle", *[typed(F.col("fields")[i], f.type).alias(f.name) for i, f in enumerate(kind.fields)])
+
+
+def scope_properties(trace: Trace, prefix: str = "noc.") -> DataFrame:
+    """scope, key, value: the trace's properties named ``noc.<scope path>.<key>``, or ``noc.<key>`` for all scopes of the protocol.
+
+    The file format has properties of the whole trace only, so a scope's are told by their names.
+    """
+    paths = {trace.schema.scope_path(s.scope_id).replace("/", "."): trace.schema.scope_path(s.scope_id) for s in trace.schema.scopes}
+    rows = []
+    for name, value in trace.properties.items():
+        if name.startswith(prefix):
+            rest = name.removeprefix(prefix)
+            own = max((p for p in paths if rest.startswith(p + ".")), key=len, default=None)
+            scopes = [paths[own]] if own else [trace.schema.scope_path(s.scope_id) for s in trace.schema.scopes if (s.protocol or "").startswith("noc")]
+            rows += [(s, rest.removeprefix(own + ".") if own else rest, value) for s in scopes]
+    return trace.ops.sparkSession.createDataFrame(rows, "scope string, key string, value string")
+
+
 def event_counts(trace: Trace, bucket: int) -> DataFrame:
     """event, bucket, n: beats, retries, timeouts, credits and decisions over time."""
     return trace.events.groupBy("event", F.expr(f"cycle div {bucket}").alias("bucket")).agg(F.count("*").alias("n"))

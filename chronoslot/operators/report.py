@@ -33,8 +33,7 @@ def summary(trace: Trace, start: int, end: int) -> DataFrame:
 def stage_latency(trace: Trace, start: int, end: int) -> DataFrame:
     """stage_name, total_cycles, n, avg_cycles of entities born in the window; slowest first, then by name."""
     _window(start, end)
-    i = born_in(instructions(trace, attributes=False), start, end).select("trace_id", "entity_id", "birth_seq")
-    s = stage_spans(trace).join(i, ["trace_id", "entity_id", "birth_seq"], "left_semi")
+    s = stage_spans(trace).where((F.col("birth_cycle") >= start) & (F.col("birth_cycle") < end))
     return s.groupBy("stage_name").agg(F.sum("duration").alias("total_cycles"), F.count("*").alias("n"), F.avg("duration").alias("avg_cycles")).orderBy(F.desc("avg_cycles"), "stage_name")
 
 

@@ -8,6 +8,8 @@ needs no order but ``seq`` and no row of another slot.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,28 +45,54 @@ def fields_at(trace: Trace, storage: Storage, time_ps: int, checkpoint: DataFram
     if checkpoint is not None:
         base = checkpoint.where(F.col("storage_id") == storage.storage_id).select("trace_id", "slot", "field_index", F.lit(-1).cast("long").alias("seq"), F.when(F.col("valid"), SET).otherwise("base").alias("action"), F.col("value").cast("decimal(20,0)").alias("value"))
         ops = ops.unionByName(base)
-    slot = Window.partitionBy("trace_id", "slot")
-    live = ops.withColumn("cleared", F.max(F.when(F.col("action") == CLEAR, F.col("seq"))).over(slot))
-    live = live.withColumn("touched", F.max(F.when(F.col("action").isin(SET, ADD), F.col("seq"))).over(slot))
-    cell = Window.partitionBy("trace_id", "slot", "field_index")
-    after = F.col("cleared").isNull() | (F.col("seq") > F.col("cleared"))
-    live = live.where("field_index is not null").withColumn("set_seq", F.max(F.when(F.col("action").isin(SET, "base") & after, F.col("seq"))).over(cell))
-    total = F.sum(F.when((F.col("action") == ADD) & after & (F.col("set_seq").isNull() | (F.col("seq") > F.col("set_seq"))), F.col("value").cast("decimal(38,0)")))
-    start = F.max(F.when((F.col("seq") == F.col("set_seq")) & F.col("action").isin(SET, "base"), F.col("value").cast("decimal(38,0)")))
+    keys = ["trace_id", "slot", "field_index"]
+    kind, wide = F.col("action"), F.col("value").cast("decimal(38,0)")
+    # a clear goes to every field of its slot; all that follows are partial aggregates, so a busy slot is many tasks' work
+    each = F.when(kind == CLEAR, F.array(*[F.lit(i) for i in range(len(storage.fields))])).otherwise(F.array("field_index"))
+    rows = ops.withColumn("field_index", F.explode(each))
+    reset = F.max(F.when(kind.isin(SET, CLEAR, "base"), F.struct("seq", F.when(kind == CLEAR, F.lit(0)).otherwise(wide).cast("decimal(38,0)").alias("value"))))
+    cells = rows.groupBy(*keys).agg(reset.alias("reset"), F.max(F.when(kind == CLEAR, F.col("seq"))).alias("cleared"), F.max(F.when(kind.isin(SET, ADD), F.col("seq"))).alias("touched"), F.max(kind != CLEAR).alias("own"))
+    since = cells.where("reset is not null").select(*keys, F.col("reset.seq").alias("reset_seq"))
+    adds = rows.where(kind == ADD).join(since, keys, "left").where(F.col("reset_seq").isNull() | (F.col("seq") > F.col("reset_seq"))).groupBy(*keys).agg(F.sum(wide).alias("added"))
     width = F.lit(None).cast("decimal(38,0)")
     for i, f in enumerate(storage.fields):
         width = F.when(F.col("field_index") == i, F.lit(str(1 << (8 * max(1, f.width)))).cast("decimal(38,0)")).otherwise(width)
-    valid = F.lit(True) if not storage.keeps_validity else F.max(F.col("touched").isNotNull() & (F.col("cleared").isNull() | (F.col("touched") > F.col("cleared"))))
-    out = live.groupBy("trace_id", "slot", "field_index").agg((F.coalesce(start, F.lit(0)) + F.coalesce(total, F.lit(0))).cast("decimal(38,0)").alias("v"), valid.alias("valid"))
-    return out.select("trace_id", "slot", "field_index", F.pmod("v", width).cast("decimal(20,0)").alias("value"), "valid")
+    valid = F.lit(True)
+    if storage.keeps_validity:
+        touched, cleared = (F.max(c).over(Window.partitionBy("trace_id", "slot")) for c in ("touched", "cleared"))  # a row for each field
+        valid = F.coalesce(touched.isNotNull() & (cleared.isNull() | (touched > cleared)), F.lit(False))
+    out = cells.withColumn("valid", valid).where("own").join(adds, keys, "left")
+    v = (F.coalesce(F.col("reset.value"), F.lit(0)) + F.coalesce("added", F.lit(0))).cast("decimal(38,0)")
+    return out.select(*keys, F.pmod(v, width).cast("decimal(20,0)").alias("value"), "valid")
+
+
+def nearest_checkpoint(trace: Trace, time_ps: int) -> tuple[Trace, DataFrame] | None:
+    """The operations from the segment that holds a time on, and the state at its start; None where a trace has no stored checkpoints.
+
+    The first segment counts where all start later. Reads one segment a trace, whatever came before.
+    """
+    if trace.segments is None or trace.checkpoints is None:
+        return None
+    at = trace.segments.groupBy("trace_id").agg(F.coalesce(F.max(F.when(F.col("time_start_ps") <= time_ps, F.struct("time_start_ps", "seg_id")))["seg_id"], F.lit(0)).alias("seg_id")).collect()  # a row for each file
+    if not at:
+        return None
+    here = None
+    for n in {r["seg_id"] for r in at}:
+        one = (F.col("seg_id") == n) & F.col("trace_id").isin([r["trace_id"] for r in at if r["seg_id"] == n])
+        here = one if here is None else here | one
+    return replace(trace, ops=trace.ops.where(here)), trace.checkpoints.where(here & ~F.col("is_prop"))
 
 
 def state_at(trace: Trace, storage: Storage, time_ps: int, checkpoint: DataFrame | None = None, from_seq: int | None = None, treat_flush_as_clear: bool = False) -> DataFrame:
     """One row per valid slot with a typed column for each field; untouched fields are 0.
 
-    With ``treat_flush_as_clear``, a flush event of an entity clears its slot in the entities storage.
+    With ``treat_flush_as_clear``, a flush event of an entity clears its slot in
+    the entities storage. Otherwise a trace with stored checkpoints is replayed
+    from the nearest one.
     """
     t = trace
+    if checkpoint is None and from_seq is None and not treat_flush_as_clear and (near := nearest_checkpoint(trace, time_ps)) is not None:
+        t, checkpoint = near
     if treat_flush_as_clear and storage == trace.schema.entities:
         flushed = trace.event("flush").select("trace_id", "seg_id", "seq", "time_ps", "cycle", F.lit(storage.storage_id).alias("storage_id"), F.col("entity_id").alias("slot"), F.lit(None).cast("int").alias("field_index"), F.lit(CLEAR).alias("action"), F.lit(0).cast("decimal(20,0)").alias("value"))
         t = Trace(trace.schema, trace.ops.unionByName(flushed), trace.events, trace.stages, trace.period_ps)
@@ -97,6 +125,8 @@ def properties_at(trace: Trace, storage: Storage, time_ps: int) -> DataFrame:
 def counter_state(trace: Trace, time_ps: int) -> DataFrame:
     """counter, value decimal of every counter storage at a time."""
     parts = [fields_at(trace, s, time_ps).select("trace_id", F.lit(s.name).alias("counter"), "value") for s in trace.schema.counters]
+    if not parts:
+        return trace.ops.limit(0).select("trace_id", F.lit("").alias("counter"), "value")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -128,6 +158,8 @@ def occupancy_at(trace: Trace, storages: list[Storage], cycles: list[int]) -> Da
         at = F.explode(F.array(*[F.struct(F.lit(c).cast("long").alias("at_cycle"), F.col(f"c{i}").alias("occupied")) for i, c in enumerate(cycles)])).alias("x")
         part = e.groupBy("trace_id").agg(*aggs).select("trace_id", F.lit(s.name).alias("storage"), at).select("trace_id", "storage", "x.*", F.lit(s.num_slots).cast("long").alias("capacity"))
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = trace.ops.limit(0).select("trace_id", F.lit("").alias("storage"), *[F.lit(0).cast("long").alias(c) for c in ("at_cycle", "occupied", "capacity")])
     fill = F.when(F.col("capacity") > 0, F.col("occupied") * 100.0 / F.col("capacity")).otherwise(0.0)
     return out.withColumn("fill_percent", fill)
 

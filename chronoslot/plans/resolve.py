@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from .trace import DEFAULT_PERIOD_PS, Schema, Scope, Storage
 
 REQUIRED_EVENTS = ("stage_transition",)
@@ -73,6 +75,26 @@ def buffers(schema: Schema, core: str | None = None) -> list[Storage]:
     return [s for s in schema.buffers if s.scope_id == scope.scope_id]
 
 
+def bound(schema: Schema, core: str | None = None) -> Schema:
+    """The part of a schema that belongs to a core: its storages and event types. Ids stay; scopes, clocks and enums are all there.
+
+    Two cores may have storages and events of the same names and entities of the same ids.
+    """
+    scope = core_scope(schema, core)
+    return replace(schema, storages=tuple(s for s in schema.storages if s.scope_id == scope.scope_id), event_types=tuple(e for e in schema.event_types if e.scope_id == scope.scope_id))
+
+
+def code_name(labels: dict[int, str] | list[str] | None, code, unknown: str = "unknown(0x%x)"):
+    """Column: the label of a code, else ``unknown`` with the code in it (``stage_%d`` for stages)."""
+    from pyspark.sql import functions as F
+
+    pairs = labels.items() if isinstance(labels, dict) else enumerate(labels or [])
+    out = F.format_string(unknown, code.cast("long"))
+    for k, v in pairs:
+        out = F.when(code == k, F.lit(v)).otherwise(out)
+    return F.when(code.isNotNull(), out)
+
+
 def segment_cycles(segments, period_ps: int):
     """The segment table in cycles."""
     from pyspark.sql import functions as F

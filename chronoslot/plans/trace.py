@@ -153,6 +153,7 @@ class Trace:
     properties: dict[str, str] = field(default_factory=dict)
     segments: DataFrame | None = None
     strings: DataFrame | None = None
+    checkpoints: DataFrame | None = None
     header: dict = field(default_factory=dict)
 
     def on(self, storage: Storage, *actions: str) -> DataFrame:

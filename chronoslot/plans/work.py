@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` and return the reread table; an iterative plan then stays as small as one step."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where none is set, a temporary one, and that only in local mode: executors must see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="chronoslot-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/work/{tag}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def save(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` and return the reread table; an iterative plan then stays as small as one step."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/work/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

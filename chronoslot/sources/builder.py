@@ -235,6 +235,38 @@ class TraceWriter:
         self.file.close()
 
 
+def embed_summary(path: str, summary: C.Summary | None) -> bool:
+    """Give a finished file a summary section, in place of one it may have. Without counters and births nothing changes.
+
+    The section and a new section table replace what stands behind the last
+    segment's strings, so doing it again gives the same bytes.
+    """
+    if summary is None or not summary.counters and not summary.total:
+        return False
+    with open(path, "r+b") as f:
+        header = C.Header.read(f.read(C.HEADER.size))
+        if not header.flags & C.F_COMPLETE or not header.section_table:
+            raise C.TraceFormatError("only a finished file can take a summary")
+        f.seek(header.section_table)
+        kept = []
+        while len(raw := f.read(C.SECTION.size)) == C.SECTION.size:
+            kind, _, _, at, size = C.SECTION.unpack(raw)
+            if kind == C.SECTION_END:
+                break
+            if kind != C.SECTION_COUNTER_SUMMARY:
+                kept.append((kind, at, size))
+        blob = C.write_summary(summary)
+        at = max((a + n for _, a, n in kept), default=header.section_table)
+        f.seek(at)
+        f.truncate()
+        rows = [*kept, (C.SECTION_COUNTER_SUMMARY, at, len(blob))]
+        f.write(blob + b"".join(C.SECTION.pack(k, 0, 0, a, n) for k, a, n in rows) + C.SECTION.pack(C.SECTION_END, 0, 0, 0, 0))
+        header.section_table = at + len(blob)
+        f.seek(0)
+        f.write(header.pack())
+    return True
+
+
 class CpuWriter:
     """The CPU protocol's calls on a :class:`TraceWriter`. Unknown names raise."""
 

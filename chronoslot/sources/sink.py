@@ -8,15 +8,18 @@ from . import codec as C
 from .builder import TraceWriter
 
 
-def write_file(trace: Trace, path: str, interval_ps: int = 10_000, summary: bool = True) -> None:
+def write_file(trace: Trace, path: str, interval_ps: int = 10_000, summary: bool = True, finish: bool = True) -> None:
     """One trace as one binary file on the driver's disk. Rows stream in order of ``seq``; a segment is held at a time.
 
-    A file is one ordered log, so it has one writer; several traces are several files.
+    A file is one ordered log, so it has one writer; several traces are several
+    files. A column ``event_type_id`` of the events tells event types of one name
+    in several scopes apart. Without ``finish`` the file is left as a writer that
+    was stopped leaves it: committed segments, no sections.
     """
     w = TraceWriter(path, trace.schema, trace.properties, interval_ps)
-    kinds = {e.name: e for e in trace.schema.event_types}
-    ops = trace.ops.selectExpr("seq", "time_ps", "'op' AS kind", "action", "storage_id", "slot", "field_index", "value", "NULL AS event", "NULL AS entity_id", "NULL AS arg", "NULL AS arg2", "NULL AS fields", "NULL AS text")
-    ev = trace.events.selectExpr("seq", "time_ps", "'event' AS kind", "NULL AS action", "NULL AS storage_id", "NULL AS slot", "NULL AS field_index", "NULL AS value", "event", "entity_id", "arg", "arg2", "fields" if "fields" in trace.events.columns else "NULL AS fields", "text")
+    kinds = {e.name: e for e in trace.schema.event_types} | {e.event_type_id: e for e in trace.schema.event_types}
+    ops = trace.ops.selectExpr("seq", "time_ps", "'op' AS kind", "action", "storage_id", "slot", "field_index", "value", "NULL AS event", "NULL AS kind_id", "NULL AS entity_id", "NULL AS arg", "NULL AS arg2", "NULL AS fields", "NULL AS text")
+    ev = trace.events.selectExpr("seq", "time_ps", "'event' AS kind", "NULL AS action", "NULL AS storage_id", "NULL AS slot", "NULL AS field_index", "NULL AS value", "event", "event_type_id AS kind_id" if "event_type_id" in trace.events.columns else "NULL AS kind_id", "entity_id", "arg", "arg2", "fields" if "fields" in trace.events.columns else "NULL AS fields", "text")
     open_at = None
     for r in ops.unionByName(ev).orderBy("seq").toLocalIterator():
         if r["time_ps"] != open_at:
@@ -26,8 +29,8 @@ def write_file(trace: Trace, path: str, interval_ps: int = 10_000, summary: bool
             w.begin_cycle(open_at)
         if r["kind"] == "op":
             w._op(r["action"], r["storage_id"], r["slot"], r["field_index"] or 0, int(r["value"] or 0))
-        elif r["event"] in kinds:
-            e = kinds[r["event"]]
+        elif (kind := r["event"] if r["kind_id"] is None else r["kind_id"]) in kinds:
+            e = kinds[kind]
             if e.name == "annotate":
                 values = [r["entity_id"], w.string(r["text"] or "")]
             elif r["fields"] is not None:
@@ -39,7 +42,10 @@ def write_file(trace: Trace, path: str, interval_ps: int = 10_000, summary: bool
             w.event(e.event_type_id, *[v or 0 for v in values[: len(e.fields)]])
     if open_at is not None:
         w.end_cycle()
-    w.close(build_summary(trace) if summary else None)
+    if finish:
+        w.close(build_summary(trace) if summary else None)
+    else:
+        w.file.close()
 
 
 def build_summary(trace: Trace) -> C.Summary | None:

@@ -285,9 +285,13 @@ def typed_events(items: DataFrame, schema: Schema, strings: DataFrame | None = N
     return out.withColumn("_i", ref).join(texts, ["trace_id", "_i"], "left").drop("_i")
 
 
-def load(spark: SparkSession, path: str, core: str | None = None) -> Trace:
-    """A file, or several of one schema, as a trace. The CPU scope is the first, or the one named; without any, the first clock counts."""
-    from ..plans.resolve import clock_period, cores, stage_names
+def load(spark: SparkSession, path: str, core: str | None = None, whole: bool = False) -> Trace:
+    """A file, or several of one schema, as a trace of one core: the first CPU scope, or the one named.
+
+    Storages and events of other scopes are no part of it, unless the ``whole``
+    file is asked for. A file without a core is taken whole, by its first clock.
+    """
+    from ..plans.resolve import bound, clock_period, cores, stage_names
 
     register(spark)
     first = TraceFile(paths_of({"path": path})[0])
@@ -295,10 +299,12 @@ def load(spark: SparkSession, path: str, core: str | None = None) -> Trace:
     has_core = core is not None or bool(cores(first.schema))
     period = clock_period(first.schema, core) if has_core else next((p for _, p in first.schema.clocks), DEFAULT_PERIOD_PS)
     stages = stage_names(first.schema, first.properties) if has_core or first.schema.enum("pipeline_stage") is not None else []
+    schema = bound(first.schema, core) if has_core and not whole else first.schema
     read = lambda t: spark.read.format("chronoslot").option("table", t).load(path)
     items = read("items")
     cycle = F.expr(f"time_ps div {period}")
-    ops = items.where("kind = 'op'").select("trace_id", "seg_id", "seq", "time_ps", cycle.alias("cycle"), "storage_id", "slot", "field_index", "action", "value")
+    known = [s.storage_id for s in schema.storages]
+    ops = items.where("kind = 'op'").where(F.col("storage_id").isin(known)).select("trace_id", "seg_id", "seq", "time_ps", cycle.alias("cycle"), "storage_id", "slot", "field_index", "action", "value")
     h = first.header
     info = {"version": f"{h.version[0]}.{h.version[1]}", "flags": h.flags, "total_time_ps": h.total_time_ps, "segments": h.num_segments, "checkpoint_interval_ps": first.interval_ps, "complete": bool(h.flags & C.F_COMPLETE)}
-    return Trace(first.schema, ops, typed_events(items, first.schema, read("strings"), period), stages, period, first.properties, read("segments"), read("strings"), info)
+    return Trace(schema, ops, typed_events(items, schema, read("strings"), period), stages, period, first.properties, read("segments"), read("strings"), read("checkpoints"), info)

@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 
 from chronoslot.operators import counters, mipmap, noc, state
-from chronoslot.plans import queries
+from chronoslot.plans import file_queries, queries  # noqa: F401  (both register queries)
 from chronoslot.plans.trace import EVENTS_SCHEMA, OPS_SCHEMA, EventType, Field, Schema, Scope, Storage, Trace
 
 SF = "/root/testdata/sf0.001"

@@ -166,3 +166,38 @@ def test_resolution(trace):
     with pytest.raises(resolve.ProtocolError):
         resolve.core_scope(s, "core9")
     assert resolve.stage_names(s, {}) == ["fetch", "decode", "execute", "writeback"]
+
+
+def test_payloads_and_properties_of_scopes(spark, tmp_path):
+    """Typed fields of an interconnect's events, and properties that name their scope."""
+    b = SchemaBuilder()
+    b.clock_domain("clk", 1000)
+    root = b.scope("root", clock_id=0)
+    mesh = b.scope("mesh", root, "noc")
+    beat = b.event("beat", [Field("txn_id", "u32"), Field("seq", "u16"), Field("delta", "i8"), Field("last", "bool")], mesh)
+    b.storage("transactions", 4, [Field("txn_id", "u32")], sparse=True, scope_id=mesh)
+    path = str(tmp_path / "n.trace")
+    w = TraceWriter(path, b.build(), {"noc.root.mesh.dim_x": "4", "noc.topology": "mesh", "vendor": "x"})
+    w.begin_cycle(3000)
+    w.event(beat, 7, 65535, -2, 1)
+    w.end_cycle()
+    w.close()
+    t = trace_format.load(spark, path)
+    assert [tuple(r)[2:] for r in noc.payloads(t, "beat").collect()] == [(3, 7, 65535, -2, True)]
+    with pytest.raises(LookupError):
+        noc.payloads(t, "retry")
+    assert sorted(map(tuple, noc.scope_properties(t).collect())) == [("root/mesh", "dim_x", "4"), ("root/mesh", "topology", "mesh")]
+
+
+def test_handoffs_in_a_circle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(noc, "MAX_ROUNDS", 4)
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src long, dst long")
+    with pytest.raises(ValueError):
+        noc.handoff_chains(links, spark.createDataFrame([(i, 1) for i in (1, 2, 3)], "life long, latency long"))
+
+
+def test_traces_without_counters_or_buffers(spark):
+    from chronoslot.plans.trace import EVENTS_SCHEMA, OPS_SCHEMA, Schema, Trace
+
+    t = Trace(Schema(), spark.createDataFrame([], OPS_SCHEMA), spark.createDataFrame([], EVENTS_SCHEMA))
+    assert state.counter_state(t, 5).isEmpty() and state.occupancy_at(t, [], [1]).isEmpty()
