@@ -29,7 +29,7 @@ BITS = 16
 DIM = 16
 SIZES = (1, 2, 3, 4)
 #: The classifier is fitted on at most so many labelled rows of each language, drawn by a hash of the id.
-SAMPLE_PER_LANG = 900
+SAMPLE_PER_LANG = 400
 #: Of each drawn row, texts are read whole; the cut-off for texts of no learned language is set on so many characters at a hashed place too.
 WINDOW_CHARS = 400
 #: Accepted texts must be right this often among the rows set aside for calibration.
@@ -42,6 +42,8 @@ UNSEEN = 0.01
 CUTS = (6, 12, 25, 50, 100, 200, 400)
 RANDOM_TEXTS = 1400
 NONE = "und"
+#: A bucket's number as it is kept and sent: the sample lies in the driver's memory.
+_BUCKET = np.uint16 if BITS <= 16 else np.uint32
 #: The step for a text grows with the root of its number of subwords, up to so many.
 SPREAD = 1000
 
@@ -99,7 +101,7 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def example(lang: str, text: str, window: str | None = None) -> Example:
     u, n = counted(text)
-    return Example(lang, u, n / max(1, n.sum()), text[:WINDOW_CHARS] if window is None else window)
+    return Example(lang, u.astype(_BUCKET), (n / max(1, n.sum())).astype(np.float32), text[:WINDOW_CHARS] if window is None else window)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> list[Example]:
@@ -120,15 +122,15 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [counted(t.as_py()) for t in b.column(3)]
-            parts = [pa.array([x[0].astype(np.uint16 if BITS <= 16 else np.uint32).tobytes() for x in got], pa.binary()), pa.array([np.minimum(x[1], 0xFFFFFFFF).astype(np.uint32).tobytes() for x in got], pa.binary())]
+            parts = [pa.array([x[0].astype(_BUCKET).tobytes() for x in got], pa.binary()), pa.array([np.minimum(x[1], 0xFFFFFFFF).astype(np.uint32).tobytes() for x in got], pa.binary())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *parts], names=["lang", "share", "window", "buckets", "counts"])
 
     cut = near.select("lang", "share", F.substring("text", at.cast("int"), F.lit(WINDOW_CHARS)).alias("window"), "text").mapInArrow(count, "lang string, share long, window string, buckets binary, counts binary")
     first = cut.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("share", F.xxhash64("buckets", "counts"), "window"))).where(F.col("k") <= per_lang)
     out = []
     for r in first.orderBy("share", "k", "lang").select("lang", "buckets", "counts", "window").collect():
-        n = np.frombuffer(r["counts"], np.uint32).astype(float)
-        out.append(Example(r["lang"], np.frombuffer(r["buckets"], np.uint16 if BITS <= 16 else np.uint32).astype(np.int64), n / max(1.0, n.sum()), r["window"]))
+        n = np.frombuffer(r["counts"], np.uint32)
+        out.append(Example(r["lang"], np.frombuffer(r["buckets"], _BUCKET), (n / max(1, n.sum())).astype(np.float32), r["window"]))
     return out
 
 
