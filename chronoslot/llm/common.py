@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; keeps a Python worker's memory flat when texts are long.
-ARROW_ROWS = 2048
-ARROW_BYTES = 8 << 20
+ARROW_ROWS = 1024
+ARROW_BYTES = 4 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -86,6 +86,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    """Hand memory that a Python worker has freed back to the system, at the end of a task: workers stay for the next stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, longer by underscores while a column has it; Spark does not tell upper from lower case."""
     taken = {c.lower() for c in columns}

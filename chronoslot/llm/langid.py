@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import held_out, trim
 from .ngrams import grams, letters, text_blocks, word_codes
 
 BITS = 16
@@ -242,5 +242,6 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             out = [model.predict(t.as_py()) for t in b.column(at)]
             cols = [*b.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        trim()
 
     return docs.select(*keep).mapInArrow(run, schema)

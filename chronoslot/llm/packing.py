@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import BulkEncoder
-from .common import fresh, save
+from .common import fresh, save, trim
 
 #: Pieces that one bucket of a length ranks, about.
 RANKED = 50_000
@@ -129,6 +129,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
                         col.append(v)
             types = [id_type or b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=False)], names=[f.name for f in fields])
+        trim()
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
 

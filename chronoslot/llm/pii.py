@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, save
+from .common import fresh, save, trim
 
 #: Exceptions to the first permutation are shipped to all tasks up to so many; beyond, they are joined.
 SHIPPED_EXCEPTIONS = 100_000
@@ -368,6 +368,7 @@ def entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
             seen = {x for t in b.column(0) if (s := t.as_py()) for kind, a, e in find(s) for x in entities_of(kind, s[a:e])}
             rows = [(kind, x, surrogate(kind, x, k)) for kind, x in seen]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "entity", "surrogate"])
+        trim()
 
     return docs.select(text_col).mapInArrow(run, "kind string, entity string, surrogate string").groupBy("kind", "entity").agg(F.first("surrogate").alias("surrogate"))
 
@@ -462,5 +463,7 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
                 totals.append(total)
             cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(keep)])]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(totals, pa.int64())] if counts else []), names=schema.names)
+        memo.clear()
+        trim()
 
     return rows.select(*keep, own_col).mapInArrow(run, schema)
