@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.trace import Trace
+from ..plans.work import save
 from .buffers import snapshots
 from .counters import range_summary
 from .lifecycle import FLUSHED, IN_FLIGHT, RETIRED, instructions, stage_spans
@@ -76,10 +77,16 @@ def file_info(trace: Trace) -> DataFrame:
 
 
 def sampled(df: DataFrame, order: list[str], rows: int = 200) -> DataFrame:
-    """Every n-th row in order and the last, so that about ``rows`` are shown."""
-    n = df.count()
+    """Every n-th row in order and the last, so that about ``rows`` are shown.
+
+    Rows are dealt by ranges of ``order`` and numbered within them; only the counts of the ranges meet in one task.
+    """
+    placed = save(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "sampled")
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_count"))
+    before = F.coalesce(F.sum("_count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_range", before.alias("_before"))
+    n = placed.count()
     step = max(1, n // rows)
-    from pyspark.sql import Window
-
-    numbered = df.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1)
-    return numbered.where((F.col("_n") % step == 0) | (F.col("_n") == n - 1)).drop("_n")
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    numbered = placed.withColumn("_n", at).join(F.broadcast(starts), "_range").withColumn("_n", F.col("_n") + F.col("_before"))
+    return numbered.where((F.col("_n") % step == 0) | (F.col("_n") == n - 1)).select(*df.columns)

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 import pytest
 
-from chronoslot.operators import counters, mipmap, noc, state
+from chronoslot.operators import counters, mipmap, noc, report, state
 from chronoslot.plans import file_queries, queries  # noqa: F401  (both register queries)
 from chronoslot.plans.trace import EVENTS_SCHEMA, OPS_SCHEMA, EventType, Field, Schema, Scope, Storage, Trace
 
@@ -86,6 +86,14 @@ def test_density(spark):
     assert {r["cycle"]: r["row"] for r in mipmap.cycle_to_row(d, cycles).collect()} == {0: 0, 512: 50, 1024: 100, 5000: 150}
 
 
+def test_sampled_rows(spark):
+    df = spark.range(0, 1003, 1, 5).selectExpr("(id * 37) % 1003 AS k", "id")
+    kept = sorted(r["k"] for r in report.sampled(df, ["k"], 100).collect())
+    assert kept == sorted({*range(0, 1003, 10), 1002})
+    assert report.sampled(df.limit(0), ["k"]).columns == ["k", "id"] and report.sampled(df.limit(0), ["k"]).isEmpty()
+    assert sorted(r["k"] for r in report.sampled(df.where("k < 3"), ["k"]).collect()) == [0, 1, 2]
+
+
 def test_handoffs_and_meshes(spark):
     lives = spark.createDataFrame([(i, 10 * i) for i in range(1, 8)], "life long, latency long")
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (6, 7)], "src long, dst long")
