@@ -213,6 +213,7 @@ NEW_FOLDER = [
     "file_segments",
     "file_strings",
     "file_events",
+    "file_time_range",
     "file_checkpoints",
     "stored_density_mipmap",
     "stored_counter_mipmap",
