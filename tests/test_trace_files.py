@@ -213,6 +213,7 @@ NEW_FOLDER = [
     "file_segments",
     "file_strings",
     "file_events",
+    "counter_value_dispatch",
     "chosen_segments",
     "core_stage_spans",
     "file_time_range",
