@@ -213,6 +213,7 @@ NEW_FOLDER = [
     "file_segments",
     "file_strings",
     "file_events",
+    "core_occupancy",
     "summary_embedded_again",
     "unfinished_file",
     "stream_counter_buckets",
