@@ -476,6 +476,42 @@ def test_signature_bounds_the_intersection():
         assert jaccard.shared_at_most(jaccard.signature(a), jaccard.signature(b)) >= len(np.intersect1d(a, b))
 
 
+def test_signatures_are_small_and_tell_sets_apart():
+    """Signatures go along with every pair, so they have a quarter of a byte a token at most; unlike sets of any size go by them."""
+    rng = np.random.default_rng(4)
+    for n, m in ((60, 50), (900, 1000), (5000, 6000), (40_000, 40_000)):
+        a, b = (np.unique(rng.integers(0, 2**64, k, dtype=np.uint64)) for k in (n, m))
+        x, y = jaccard.signature(a), jaccard.signature(b)
+        assert len(x) <= 40 + n // 4
+        assert not jaccard.links(jaccard.shared_at_most(x, y), n, m)
+        for k in (n // 3, n * 9 // 10, n):
+            c = np.unique(np.concatenate([a[:k], b[: n // 7]]))
+            assert jaccard.shared_at_most(x, jaccard.signature(c)) >= len(np.intersect1d(a, c))
+
+
+def test_prefixes_go_along_with_few_pairs(spark, monkeypatch):
+    """Texts with a passage in common meet under the first order; the prefixes of the others are fetched only where signatures allow a link."""
+    fetched, fetch = [], jaccard._fetch_filters
+
+    def spied(sets, wanted, *cols):
+        fetched.append((cols, wanted.count()))
+        return fetch(sets, wanted, *cols)
+
+    monkeypatch.setattr(jaccard, "_fetch_filters", spied)
+    rnd = random.Random(8)
+    many = lambda k: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(k))
+    texts = []
+    for _ in range(20):
+        passage = many(80)
+        texts += [f"{many(200)} {passage} {many(200)}" for _ in range(2)]
+    near = many(400)
+    texts += [near, near + " more"]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(table(spark, texts)).collect()}
+    assert got == {i: min(i, 40) for i in range(42)}
+    assert max(k for cols, k in fetched if "orders" not in cols) == 42
+    assert max(k for cols, k in fetched if "orders" in cols) <= 2
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 130)] + [(200, 200)]
