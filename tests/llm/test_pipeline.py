@@ -64,6 +64,19 @@ def test_stages(spark, tmp_path):
         assert at <= 1024
 
 
+def test_near_copies_leaves_one_work_table(spark):
+    """Sets and prefixes have gone before the texts are shuffled: only the ids that stay are read by then."""
+    from chronoslot.llm import common
+
+    w = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join([*w, "more"])), (3, "a b c d e f"), (None, "x")], "doc_id long, text string")
+    start = set(common.saved)
+    out = corpus_pipeline.near_copies(spark, docs, "")
+    left = [p for p in common.saved if p not in start]
+    assert len(left) == 1 and "/stay-" in left[0]
+    assert sorted((r["doc_id"] for r in out.collect()), key=str) == [1, 3, None]
+
+
 def test_clashing_and_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, node long, host string, _text string, _own string")
     for name, stage in corpus_pipeline.STAGES:
